@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import near_dedup, substring_dedup
 from .common import table
 
 
@@ -10,5 +10,9 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
-ORACLES = {"op2_minhash_near_dedup": near_dedup.ORACLE}
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_substring_dedup)}
+ORACLES = {"op2_minhash_near_dedup": near_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE}
