@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import mixing, near_dedup, packing, substring_dedup, topk
 from .common import table
 
 
@@ -14,5 +14,22 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_substring_dedup)}
-ORACLES = {"op2_minhash_near_dedup": near_dedup.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE}
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op7_exact_top_k)}
+ORACLES = {
+    "op2_minhash_near_dedup": near_dedup.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
+    "op7_exact_top_k": topk.ORACLE,
+}
