@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, substring_dedup, topk
+from . import language_id, mixing, near_dedup, packing, quality_classifier, substring_dedup, topk
 from .common import table
 
 
@@ -26,7 +26,15 @@ def op7_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op7_exact_top_k)}
+def op8_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op7_exact_top_k, op8_quality_classifier, op9_language_id)}
 ORACLES = {
     "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
