@@ -124,6 +124,26 @@ class Words:
         return mix(out)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
+    """64-bit hash of the bytes of each span; spans are in order, not empty, and do not overlap."""
+    out = np.empty(len(start), U64)
+    table = byte_table(fold_case)
+    i, n = 0, len(start)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        a, b = int(start[i]), int(end[j - 1])
+        up, down = _powers(b - a)
+        codes = np.zeros(b - a + 1, U64)
+        codes[:-1] = table[data[a:b]]
+        codes[:-1] *= up[: b - a]
+        both = np.empty(2 * (j - i), np.int64)
+        both[::2], both[1::2] = start[i:j] - a, end[i:j] - a
+        # where spans touch, an end is the next start and reduceat gives that one value: drop it
+        out[i:j] = np.add.reduceat(codes, both)[::2] * down[both[::2]]
+        i = j
+    return mix(out)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every n consecutive hashes; document edges are the caller's matter."""
     if len(h) < n:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, near_dedup, packing, quality_classifier, substring_dedup, topk
+from . import language_id, mixing, near_dedup, packing, quality_classifier, substring_dedup, topk, toxicity
 from .common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op7_exact_top_k, op8_quality_classifier, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op7_exact_top_k, op8_quality_classifier, op9_language_id)}
 ORACLES = {
     "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
