@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, language_id, mixing, near_dedup, packing, quality_classifier, substring_dedup, topk, toxicity
+from . import class_lm, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, topk, toxicity
 from .common import table
 
 
@@ -42,7 +42,11 @@ def op10_class_lm(spark, sf_dir):
     return class_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op7_exact_top_k, op8_quality_classifier, op9_language_id, op10_class_lm)}
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op6_quality_rules, op7_exact_top_k, op8_quality_classifier, op9_language_id, op10_class_lm)}
 ORACLES = {
     "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
