@@ -1,12 +1,59 @@
-"""A training-corpus pipeline over the documents table."""
+"""A training-corpus pipeline over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
+between stages the rows are written as Parquet and read again. All but the last
+return the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sieveline.llm import language_id, mixing, near_dedup, packing, substring_dedup
+from sieveline.llm.common import cut, prepare, table
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language; those without text or without a letter go."""
+    prepare(spark)
+    names = docs.columns
+    told = language_id.predict(docs, language_id.learn(docs), names)
+    return told.where(F.col("_lang_pred") != language_id.UNKNOWN).select(*names)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id. Rows without doc_id stay."""
+    found = near_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row; texts without the words of passages that documents with smaller ids have, n_chars to match."""
+    names = docs.columns
+    out = substring_dedup.remove_duplicate_spans(docs)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*names)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in training sequences."""
+    return packing.pack(docs)
 
-from sieveline.llm.common import cut, table
 
-STAGES: list = []
+STAGES = [
+    ("language ID", identify_languages),
+    ("MinHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 #: The last stage tokenises, which SQL cannot express.
 ORACLE_SQL = None
 

@@ -127,20 +127,22 @@ def learn(docs: DataFrame, sample: int = SAMPLE, parts: int = PARTS, held: int =
 
 
 def predict(docs: DataFrame, model: dict, extra: list[str] | None = None, parts: int = PARTS, held: int = HELD) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and the columns of docs named in extra."""
+    """doc_id, held_out, lang_pred, score of every row; with extra, those columns of docs and _lang_pred, _score."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = extra or []
+    names = [*extra, "_lang_pred", "_score"] if extra else ["doc_id", "held_out", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "_text"):
             langs, score = decide(shared.value, batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["_id", "_held", *extra]), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id" if not extra else "_id", "held_out", *extra, "lang_pred", "score"])
+            lead = [] if extra else [batch.column("_id"), batch.column("_held")]
+            yield pa.RecordBatch.from_arrays([*lead, *(batch.column(c) for c in extra), pa.array(langs, pa.string()), pa.array(score)], names=names)
 
     types = dict(docs.dtypes)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), (fold(F.col("doc_id").cast("long"), parts) == held).alias("_held"), *extra)
-    kept = "".join(f", `{c}` {types[c]}" for c in extra)
-    return rows.mapInArrow(run, f"{'_id' if extra else 'doc_id'} long, held_out boolean{kept}, lang_pred string, score double")
+    kept = ", ".join(f"`{c}` {types[c]}" for c in extra)
+    return rows.mapInArrow(run, f"{kept}, _lang_pred string, _score double" if extra else "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
