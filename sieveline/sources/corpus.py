@@ -26,8 +26,9 @@ def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def corrupt_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that do not parse."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return read.select("_corrupt", F.input_file_name().alias("file")).where("_corrupt is not null")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where("trim(value) <> ''")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.select(parsed.alias("row"), "file").where("row._corrupt is not null").select("row._corrupt", "file")
 
 
 def checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
