@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import documents, fold, prepare
+from .training import fit_in_task
 
 PARTS, HELD, UNKNOWN = 5, 0, "und"
 #: n-gram sizes in bytes of lower-cased text; slots of the filter; probes an n-gram; languages at most.
@@ -122,8 +123,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, parts: int = PARTS, held: int =
         chosen = one if chosen is None else chosen.union(one)
     if chosen is None:
         return {"langs": [], "slots": np.zeros(SLOTS, np.uint8), "chance": np.zeros(0)}
-    rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text", "doc_id").toPandas().sort_values(["lang", "doc_id", "text"])
-    return train(list(zip(rows["lang"], rows["text"], strict=True)))
+    rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text", "doc_id")
+    return fit_in_task(rows, lambda t: train(sorted(zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True))))
 
 
 def predict(docs: DataFrame, model: dict, extra: list[str] | None = None, parts: int = PARTS, held: int = HELD) -> DataFrame:

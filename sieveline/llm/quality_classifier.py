@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import documents, fold, prepare
-from .training import best_cut, labelled, platt
+from .training import best_cut, fit_in_task, labelled, platt, sample_rows
 
 PARTS, HELD, CUT = 5, 0, 0.3
 SLOTS, SAMPLE, EPOCHS = 1 << 18, 6000, 3
@@ -145,5 +145,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     docs besides doc_id and text are ignored. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    texts, y = labelled(documents(docs), labels, "quality", PARTS, HELD, sample)
-    return score(docs, train(texts, y))
+    rows = labelled(documents(docs), labels, "quality", PARTS, HELD, sample)
+    return score(docs, fit_in_task(rows, lambda t: train(*sample_rows(t))))

@@ -9,8 +9,9 @@ text (and 0), and a logistic unit reads the pooled values. Training is minibatch
 AdaGrad; the first embedding dimension starts from how much oftener a bucket is in
 label 1, which the first filters of width 1 and ``WIDE`` read.
 
-For scoring, every filter row is multiplied into the embeddings once, so a distinct
-word of a batch costs four lookups. Thresholds are calibrated by language: the language is
+For scoring, every filter row is multiplied into the embeddings of a batch's distinct
+words once, so a word costs lookups and additions. Training runs in one task over
+the bounded sample. Thresholds are calibrated by language: the language is
 guessed from the text's own function words, and each one's scores are shifted so
 that the cut of best F1 on texts kept out of training is ``CUT``.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import documents, fold, prepare
 from .quality_classifier import _kind
-from .training import best_cut, labelled, platt
+from .training import best_cut, fit_in_task, labelled, platt, sample_rows
 
 PARTS, HELD, CUT = 4, 2, 0.3
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 6
@@ -137,8 +138,8 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS) -> dict:
     words = tokens(pa.array(texts, pa.large_string()))
     distinct, rows, buckets = vocabulary(words)
     first = words.first
-    known, local = np.unique(buckets, return_inverse=True)
-    parts = local.reshape(buckets.shape) + 1  # row 0: buckets not seen
+    known = np.unique(buckets)
+    parts = (np.searchsorted(known, buckets) + 1).astype(np.int32)  # row 0: buckets not seen
     calibrate = np.arange(len(texts)) % 4 == 0
     rng = np.random.default_rng(7)
     embedding = rng.normal(0, 0.02, (len(known) + 1, DIM))
@@ -205,7 +206,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS) -> dict:
     embedding[0] = 0
     index = np.zeros(BUCKETS, np.int32)
     index[known] = np.arange(1, len(known) + 1)
-    model = {"index": index, "table": _table(embedding, filters).astype(np.float32), "bias": bias, "out": out, "base": base, "curves": None}
+    model = {"index": index, "embedding": embedding.astype(np.float32), "filters": filters, "bias": bias, "out": out, "base": base, "curves": None}
     margin = np.zeros(len(texts))
     for a in range(0, len(texts), 200):
         b = min(a + 200, len(texts))
@@ -227,7 +228,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = EPOCHS) -> dict:
 
 def _margins(model: dict, rows: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
     """rows: index of each word into buckets."""
-    table = model["table"][model["index"][buckets]].sum(axis=1)
+    table = _table(model["embedding"][model["index"][buckets]].sum(axis=1), model["filters"])
     pooled, _ = _pooled(table, model["bias"], rows, first)
     return pooled @ model["out"] + model["base"]
 
@@ -258,5 +259,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     besides doc_id and text are ignored. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    texts, y = labelled(documents(docs), labels, "toxic", PARTS, HELD, sample)
-    return score(docs, train(texts, y))
+    rows = labelled(documents(docs), labels, "toxic", PARTS, HELD, sample)
+    return score(docs, fit_in_task(rows, lambda t: train(*sample_rows(t))))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of at most ``most`` documents of each label, outside the held-out fold.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int) -> DataFrame:
+    """(o, doc_id, y, text) of at most ``most`` documents of each label, outside the held-out fold.
 
     A bounded sample by a hash of doc_id: the same rows on every run. Documents without
     text or label are left out; of a doc_id labelled more than once the largest label counts.
@@ -19,9 +24,28 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: i
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("y") == v).select("doc_id", "y", order.alias("o")).orderBy("o", "doc_id").limit(most) for v in (0, 1)]
-    rows = docs.where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("o", "doc_id", "y", "text").toPandas()
-    rows = rows.sort_values(["o", "doc_id", "text"]).drop_duplicates("doc_id")
-    return rows["text"].tolist(), rows["y"].to_numpy(np.float64)
+    return docs.where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("o", "doc_id", "y", "text")
+
+
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """fit of a bounded table, run in one task of an executor: the driver gets the model, not the rows."""
+    schema = rows.limit(0).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit(pa.Table.from_batches([], schema))
+
+
+def sample_rows(table: pa.Table) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of labelled() rows, in the order of the hash, one row a doc_id."""
+    rows = table.sort_by([("o", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    ids = rows["doc_id"].to_numpy()
+    first = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.zeros(0, bool)
+    rows = rows.filter(pa.array(first))
+    return rows["text"].to_pylist(), rows["y"].to_numpy().astype(np.float64)
 
 
 def platt(score: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
