@@ -29,6 +29,7 @@ SIZES, SLOTS, HASHES, LANGUAGES = (3, 4, 5), 1 << 20, 2, 64
 SAMPLE, LEAST, GRAMS = 600, 4, 30_000
 _letter = np.zeros(256, bool)
 _letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_ascii = _letter & (np.arange(256) < 128)
 
 
 def _grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +90,8 @@ def decide(model: dict, col: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each document: ``und`` and 0 without letters, or if nothing was learned."""
     texts = pc.fill_null(col, "")
     g, first = _grams(texts)
+    words = K.Words(texts)
+    plain = K.sums(_ascii[words.data], words.doc_at)
     masks = model["slots"][_slots(g, 0)]
     for probe in range(1, HASHES):
         masks = masks & model["slots"][_slots(g, probe)]
@@ -99,7 +102,7 @@ def decide(model: dict, col: pa.Array) -> tuple[list[str], np.ndarray]:
         share[:, bit] = np.clip((hits - chance * total) / np.maximum((1 - chance) * total, 1e-9), 0, 1)
     out, score = [], np.zeros(len(texts))
     for i, row in enumerate(share):
-        if not len(row) or (not total[i] and not any(c.isalpha() for c in texts[i].as_py())):
+        if not len(row) or (not plain[i] and not any(c.isalpha() for c in texts[i].as_py())):
             out.append(UNKNOWN)
             continue
         best = int(row.argmax())
