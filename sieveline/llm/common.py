@@ -40,9 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lost executors cost no recomputation, plans stay short."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lost executors cost no recomputation, plans stay short.
+
+    files: at most so many, where the rows are known to be few; small tables in hundreds
+    of files cost more to write and list than to compute.
+    """
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

@@ -20,8 +20,8 @@ confirmed links and drops the hub from the list; once the pairs left across
 components number no more than ``LINEAR`` times the nodes, they are tested
 directly. If a round leaves more, the shingles that only one open set has are
 counted: such a shingle is in no intersection, so a set with few others cannot
-reach the similarity, and leaves the lists for good; what a set shares with its
-hub bounds its other overlaps. ``PROBES`` pairs a node may then be held against
+reach the similarity, and leaves the lists for good. What sets share with their
+list's hub, and what they have besides, bounds their overlaps with each other. ``PROBES`` pairs a node may then be held against
 these bounds. Rounds end either way, because every round shortens every open list.
 """
 
@@ -41,6 +41,10 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 COORDINATES, FOLD, MATCHES = 32, 3, 3
 LINEAR, PROBES = 4, 128
+#: Ids that a broadcast may hold; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Rows a file of the tables that rounds write: nodes with signatures, posting rows, pairs of sets.
+NODE_ROWS, LIST_ROWS, PAIR_ROWS = 20_000, 500_000, 5_000
 
 
 def shingles(words: K.Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -110,40 +114,42 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(g.view(np.int64))], names=["node", "g"])
 
 
-def _partnered(lists: DataFrame, hubs: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
-    """The lists with what bounds a set's overlaps, and without the sets that can have no link in them.
+def _partnered(lists: DataFrame, hubs: DataFrame, docs: DataFrame, files: int) -> DataFrame:
+    """The lists without the sets that can have no link in them; common: what a set shares with other open sets.
 
-    common: the set's shingles that another open set has too; x: those of them that
-    its list's hub has, where the two were compared. Sets a and b link only if they
-    share PERCENT / (100 + PERCENT) of their summed sizes, and they share at most
-    least(common) and at most least(x) + least(common - x). Open sets hold every set
-    that a list still compares and the hubs, so the bounds are exact.
+    Sets a and b link only if they share PERCENT / (100 + PERCENT) of their summed
+    sizes, and what they share, two open sets have. Open sets hold every set that a
+    list still compares and the hubs, so the bound is exact.
     """
-    open_nodes = lists.select(F.col("node").alias("doc_id")).distinct()
-    rows = docs.join(open_nodes, "doc_id", "left_semi").distinct().mapInArrow(_shingle_rows, "node long, g long")
+    open_nodes = lists.select("node").union(hubs.select("node")).distinct()
+    rows = _texts(docs, open_nodes, files).distinct().mapInArrow(_shingle_rows, "node long, g long")
     alone = rows.groupBy("g").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
-    alone = cut(alone.groupBy("node").agg(F.count("*").alias("alone")))
-    sized = lists.drop("common", "x").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    sized = lists.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     least = sized.groupBy("key").agg(F.min("n").alias("least"))
-    sized = sized.join(least, "key").where(f"{100 + PERCENT} * common >= {PERCENT} * (n + least)").drop("least")
-    seen = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").union(tested.select("b", "a", "both"))
-    near = sized.join(hubs.select("key", F.col("hub.node").alias("hub")), "key").join(seen, ["node", "hub"], "left")
-    return cut(near.select("key", "c", "node", "n", "common", F.col("both").alias("x")))
+    return cut(sized.join(least, "key").where(f"{100 + PERCENT} * common >= {PERCENT} * (n + least)").select(*lists.columns), files)
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
+    """The documents of the nodes; ids are broadcast if there are few, so that texts need not move."""
+    nodes = cut(nodes.select(F.col("node").alias("doc_id")), files)
+    return docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "doc_id", "left_semi")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The overlap of each pair's full sets, and whether it reaches the similarity."""
+    """Of each pair's full sets: the overlap, whether it is a link, and what either has more, unless they are far apart."""
     for batch in batches:
         left, right = batch.column("left"), batch.column("right")
-        overlap, linked = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool)
+        overlap, linked, more = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool), ([], [])
         for i in range(batch.num_rows):
             a, b = np.frombuffer(left[i].as_buffer(), K.U64), np.frombuffer(right[i].as_buffer(), K.U64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
-            both = int((b[at] == a).sum()) if len(b) else 0
+            only_a, only_b = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+            both = len(a) - len(only_a)
             overlap[i], linked[i] = both, both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap), pa.array(linked)], names=["a", "b", "both", "linked"])
+            near = 2 * both >= max(len(a), len(b))
+            for side, only in zip(more, (only_a, only_b), strict=True):
+                side.append(only.view(np.int64) if near else None)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap), pa.array(linked), *(pa.array(side, pa.list_(pa.int64())) for side in more)], names=["a", "b", "both", "linked", "more_a", "more_b"])
 
 
 def _collisions() -> Column:
@@ -157,29 +163,35 @@ def _collided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").where(_collisions() >= MATCHES).select("a", "b")
 
 
-def _across(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def _across(lists: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
     """The pairs of different components that some list has, whose signatures agree and whose bounds allow a link.
 
-    Every condition is part of the join, and a pair comes from its first common
-    coordinate only, so what the join makes are distinct candidates.
+    tested has what sets share with their list's hub, have more than it and miss of it.
+    From that the overlap of two sets follows exactly, so only links are left, and the
+    pairs with a set that is too far from its hub to have been tested. Every condition is
+    part of the join, and a pair comes from its first common coordinate only, so what
+    the join makes are distinct candidates.
     """
-    wide = lists.join(nodes.select("node", "sig"), "node")
-    cols = {"node": "", "label": "l", "n": "n", "common": "c", "x": "x", "sig": "s"}
+    seen = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("both").alias("x"), F.col("more_a").alias("more"), F.col("more_b").alias("miss"))
+    seen = seen.unionByName(tested.select(F.col("b").alias("node"), F.col("a").alias("hub"), F.col("both").alias("x"), F.col("more_b").alias("more"), F.col("more_a").alias("miss")))
+    wide = lists.join(seen, ["node", "hub"], "left").join(nodes.select("node", "sig"), "node")
+    cols = {"node": "", "label": "l", "n": "n", "common": "c", "x": "x", "sig": "s", "more": "m", "miss": "d"}
     one, two = (wide.select("key", *(["c"] if side == "a" else []), *(F.col(k).alias(v + side) for k, v in cols.items())) for side in "ab")
-    most = "least(least(ca, cb), coalesce(least(if(xb is null, null, xa), if(xa is null, null, xb)) + least(ca - xa, cb - xb), ca))"
-    bound = f"a < b and la <> lb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and {100 + PERCENT} * {most} >= {PERCENT} * (na + nb)"
     one, two = one.withColumnRenamed("c", "at"), two.withColumnRenamed("key", "key_b")
-    same = F.zip_with("sa", "sb", lambda x, y: x == y)
-    return one.join(two, (F.col("key") == F.col("key_b")) & F.expr(bound) & (F.array_position(same, True) == F.col("at") + 1) & (_collisions() >= MATCHES)).select("a", "b")
-
-
-def _tested(likely: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, both, linked) of the candidate pairs, from their full sets."""
-    likely = cut(likely)
-    needed = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "node long, packed binary"))
+    sized = f"a < b and la <> lb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and {100 + PERCENT} * least(ca, cb) >= {PERCENT} * (na + nb)"
+    bound = f"ma is null or mb is null or {100 + PERCENT} * (xa - size(db) + size(array_intersect(da, db)) + size(array_intersect(ma, mb))) >= {PERCENT} * (na + nb)"
+    first = F.array_position(F.zip_with("sa", "sb", lambda x, y: x == y), True) == F.col("at") + 1
+    return one.join(two, (F.col("key") == F.col("key_b")) & F.expr(sized) & first & (_collisions() >= MATCHES) & F.expr(bound)).select("a", "b")
+
+
+def _tested(likely: DataFrame, docs: DataFrame, files: int | None) -> DataFrame:
+    """(a, b, both, linked, more_a, more_b) of the candidate pairs, from their full sets."""
+    likely = cut(likely, files)
+    files = 1 + likely.count() // PAIR_ROWS
+    needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    sets = cut(_texts(docs, needed, files).mapInArrow(_sets, "node long, packed binary"))
     rows = likely.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
-    return cut(rows.mapInArrow(_confirm, "a long, b long, both long, linked boolean"))
+    return cut(rows.mapInArrow(_confirm, "a long, b long, both long, linked boolean, more_a array<long>, more_b array<long>"), files)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,42 +208,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, m1 long, m2 long, sig array<long>"))
     named = sketches.where("doc_id is not null and n_shingles > 0")
     # exact copies: one node for each distinct set, named by its smallest doc_id
-    classes = cut(named.groupBy(F.col("n_shingles").alias("n"), "m1", "m2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig")))
+    classes = cut(named.groupBy(F.col("n_shingles").alias("n"), "m1", "m2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig")), 1 + sketches.count() // NODE_ROWS)
     mine = named.join(classes.select(F.col("n").alias("n_shingles"), "m1", "m2", "node"), ["n_shingles", "m1", "m2"]).select("doc_id", "node")
     nodes = classes.select("node", "n", "sig")
 
     prefix = COORDINATES - MATCHES + 1
     posted = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, prefix)).alias("c", "v"))
-    posted = posted.select(F.xxhash64("c", "v").alias("key"), "c", "node", "n", F.col("n").alias("common"), F.lit(None).cast("long").alias("x"))
+    posted = posted.select(F.xxhash64("c", "v").alias("key"), "c", "node", "n", F.col("n").alias("common"))
     shared = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    lists = cut(posted.join(shared, "key"))
+    total = nodes.count()
+    lists = cut(posted.join(shared, "key"), 1 + prefix * total // LIST_ROWS)
+    files = 1 + lists.count() // LIST_ROWS
     # a doc_id repeated with different texts belongs to several nodes, which are then one
     again = mine.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    links = cut(mine.join(again.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
+    links = mine.join(again.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    links = docs.sparkSession.createDataFrame([], "a long, b long") if again.isEmpty() else cut(links)
 
-    labels, total, turn, bounded = None, nodes.count(), 0, False
+    labels, tested, turn, bounded = None, None, 0, False
     while True:
         open_ = (lists.join(labels, "node", "left") if labels is not None else lists.withColumn("label", F.lit(None).cast("long"))).withColumn("label", F.coalesce("label", "node"))
-        parts = open_.groupBy("key", "label").agg(F.count("*").alias("k"))
-        spans = cut(parts.groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own")).where("all * all > own"))
-        left = spans.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        spans = open_.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own")).where("all * all > own")
+        open_ = cut(open_.join(spans.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2 / F.col("all")).alias("w")), "key"), files)
+        left = open_.agg(F.sum("w")).first()[0]
         if not left:
             break
-        open_ = cut(open_.join(spans.select("key"), "key"))
-        if left <= (PROBES if bounded else LINEAR) * total and turn:
-            links = links.union(_tested(_across(open_, nodes), docs).where("linked").select("a", "b"))
-            labels = components(links)
+        open_ = open_.drop("w")
+        if turn and left > LINEAR * total and not bounded:
+            lists, bounded = _partnered(open_.drop("label"), open_.select(F.col("hub").alias("node")), docs, files), True
+            continue
+        if turn and left <= (PROBES if bounded else LINEAR) * total:
+            found = _tested(_across(open_, nodes, tested), docs, None)
+            labels = components(links.union(found.where("linked").select("a", "b")), files=files)
             break
         order = F.xxhash64("node", F.lit(turn))
-        hubs = cut(open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.struct(order, "node")).alias("hub")))
-        met = open_.join(hubs, "key").where("label <> hub.label").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        tested = _tested(_collided(met, nodes), docs)
-        links = links.union(tested.where("linked").select("a", "b"))
-        labels = cut(components(links))
-        lists = open_.drop("label")
-        if not bounded and left > LINEAR * total:
-            lists, bounded = _partnered(lists, hubs, tested, docs), True
-        lists = cut(lists.join(hubs.select("key", F.col("hub.node").alias("node")), ["key", "node"], "left_anti"))
+        hubs = cut(open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.struct(order, "node")).alias("h")).select("key", F.col("h.node").alias("hub_now"), F.col("h.label").alias("hub_label")), files)
+        met = open_.join(hubs, "key").where("label <> hub_label").select(F.least("node", "hub_now").alias("a"), F.greatest("node", "hub_now").alias("b")).distinct()
+        now = _tested(_collided(met, nodes), docs, files)
+        links = links.union(now.where("linked").select("a", "b"))
+        labels = components(links, files=files)
+        lists = open_.join(hubs.select("key", "hub_now"), "key").where("node <> hub_now").drop("label")
+        if turn:
+            lists = lists.drop("hub_now")
+        else:
+            lists, tested = lists.withColumnRenamed("hub_now", "hub"), now
+        lists = cut(lists, files)
         turn += 1
     if labels is None:
         labels = components(links)
