@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, documents, prepare
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 20240601
+#: Sources whose plan may be broadcast (about 10 MB); the rows are joined by shuffle if there are more.
+SOURCES = 100_000
 
 
 def targets(sized: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
@@ -71,6 +73,8 @@ def _taken(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """rows (with source, size, key) and source_size, target, whole, extra: words of the fractional repetition."""
     names = {c: f"_{c}" for c in ("source_size", "target", "whole", "last", "part", "part_of")}
     found = goals.select(F.col("source").alias("_s"), *(F.col(c).alias(v) for c, v in names.items()))
+    # the rows of a source must not meet in one task: sources are few and broadcast, unless counting says otherwise
+    found = F.broadcast(found) if goals.count() <= SOURCES else found
     extra = F.when(F.col("key") < F.col("_last"), F.col("size")).when(F.col("key") == F.col("_last"), F.floor(F.col("_part") * F.col("size") / F.col("_part_of"))).otherwise(F.lit(0))
     return rows.join(found, F.col("source").eqNullSafe(F.col("_s"))).select(*rows.columns, F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_whole").alias("whole"), extra.cast("long").alias("extra"))
 
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     prepare(docs.sparkSession)
     sized = cut(documents(docs, F.col("source").cast("string").alias("source")).select("doc_id", "source", size().alias("size"), key(seed=seed).alias("key")))
     taken = (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")
-    return _taken(sized, plan(sized, weights, share, epochs)).select("doc_id", "size", "source_size", "target", taken)
+    return _taken(sized, cut(plan(sized, weights, share, epochs), 1)).select("doc_id", "size", "source_size", "target", taken)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -98,7 +102,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     prepare(docs.sparkSession)
     names = docs.columns
     sized = cut(docs.select(F.col("source").cast("string").alias("source"), size().alias("size"), key(seed=seed).alias("key")))
-    goals = cut(plan(sized, weights, share, epochs))
+    goals = cut(plan(sized, weights, share, epochs), 1)
     rows = docs.select(F.struct(*names).alias("row"), F.col("source").cast("string").alias("source"), size().alias("size"), key(seed=seed).alias("key"))
     rows = _taken(rows, goals)
     copies = (F.col("whole") + (F.col("extra") == F.col("size")).cast("int") * (F.col("size") > 0).cast("int")).cast("int")
