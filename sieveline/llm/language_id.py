@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: dict, extra: list[str] | None = None, parts:
     names = [*extra, "_lang_pred", "_score"] if extra else ["doc_id", "held_out", "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, "_text"):
+        for batch in K.slices(batches, "_text", K.PIECE // 4):  # n-grams take about a hundred times the bytes of their text
             langs, score = decide(shared.value, batch.column("_text"))
             lead = [] if extra else [batch.column("_id"), batch.column("_held")]
             yield pa.RecordBatch.from_arrays([*lead, *(batch.column(c) for c in extra), pa.array(langs, pa.string()), pa.array(score)], names=names)
