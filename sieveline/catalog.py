@@ -602,6 +602,16 @@ def free_text_topk(fx):
     return _rounded(bm25.top_k(bm25.scores(index, asked), asked, index.docs, FINAL), 6)
 
 
+@query()
+def free_text_topk_whole(fx):
+    """BM25 over the documents table: each benchmark text as a query, whole. free_text_topk is the fixture of twelve words that its SQL checks."""
+    docs = fx.read("documents").select(F.col("doc_id").alias("ordinal"), "text")
+    asked = fx.read("benchmark").select(F.col("item_id").cast("string").alias("qid"), "text")
+    built = bm25.build(docs)
+    index = bm25.Index(written(built.tf), written(built.idf), built.stats, built.docs)
+    return _rounded(bm25.top_k(bm25.scores(index, asked), asked, index.docs, FINAL), 6)
+
+
 _fixtures: dict[tuple[str, str], Fixture] = {}
 
 
