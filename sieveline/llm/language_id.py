@@ -1,7 +1,7 @@
 """Language ID by language-bitmask n-gram filters.
 
 One bit-sliced Bloom filter holds the character n-grams of all languages: a slot is
-a bit mask over languages, an n-gram sets its language's bit in ``HASHES`` slots,
+a bit mask over languages (as many 64-bit words as they need), an n-gram sets its language's bit in ``HASHES`` slots,
 and the AND of an n-gram's slots is the mask of all languages that contain it
 (with Bloom false positives). Over a text's n-grams the masks are counted per
 language; a language's count is corrected for the share of n-grams that its filter
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -23,8 +23,8 @@ from .common import documents, fold, prepare
 from .training import fit_in_task
 
 PARTS, HELD, UNKNOWN = 5, 0, "und"
-#: n-gram sizes in bytes of lower-cased text; slots of the filter; probes an n-gram; languages at most.
-SIZES, SLOTS, HASHES, LANGUAGES = (3, 4, 5), 1 << 20, 2, 64
+#: n-gram sizes in bytes of lower-cased text; slots of the filter; probes an n-gram; languages in a word of a mask.
+SIZES, SLOTS, HASHES, BITS = (3, 4, 5), 1 << 20, 2, 64
 #: Documents a language to learn from; n-grams in at least so many of them, up to so many a language.
 SAMPLE, LEAST, GRAMS = 600, 4, 30_000
 _letter = np.zeros(256, bool)
@@ -70,7 +70,7 @@ def train(rows: list[tuple[str, str]]) -> dict:
     """The filter of (lang, text) rows: each language's n-grams of most of its documents."""
     langs = sorted({lang for lang, _ in rows})
     kinds = np.uint64 if len(langs) > 8 else np.uint8
-    slots = np.zeros(SLOTS, kinds)
+    slots = np.zeros((-(-len(langs) // BITS), SLOTS), kinds)  # a row for every BITS languages
     for bit, lang in enumerate(langs):
         seen: list[np.ndarray] = []
         batch = pa.RecordBatch.from_arrays([pa.array([t for name, t in rows if name == lang], pa.string())], names=["text"])
@@ -81,8 +81,8 @@ def train(rows: list[tuple[str, str]]) -> dict:
         common = np.flatnonzero(n >= min(LEAST, len(seen)))
         common = common[np.argsort(-n[common], kind="stable")[:GRAMS]]
         for probe in range(HASHES):
-            np.bitwise_or.at(slots, _slots(grams[common], probe), kinds(1 << bit))
-    chance = np.array([float(((slots >> kinds(bit)) & kinds(1)).mean()) ** HASHES for bit in range(len(langs))])
+            np.bitwise_or.at(slots[bit // BITS], _slots(grams[common], probe), kinds(1 << bit % BITS))
+    chance = np.array([float(((slots[bit // BITS] >> kinds(bit % BITS)) & kinds(1)).mean()) ** HASHES for bit in range(len(langs))])
     return {"langs": langs, "slots": slots, "chance": chance}
 
 
@@ -92,13 +92,16 @@ def decide(model: dict, col: pa.Array) -> tuple[list[str], np.ndarray]:
     g, first = _grams(texts)
     words = K.Words(texts)
     plain = K.sums(_ascii[words.data], words.doc_at)
-    masks = model["slots"][_slots(g, 0)]
-    for probe in range(1, HASHES):
-        masks = masks & model["slots"][_slots(g, probe)]
+    at = [_slots(g, probe) for probe in range(HASHES)]
     total = np.diff(first)
     share = np.zeros((len(texts), len(model["langs"])))
     for bit, chance in enumerate(model["chance"]):
-        hits = K.sums((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), first)
+        if bit % BITS == 0:
+            slots = model["slots"][bit // BITS]
+            masks = slots[at[0]]
+            for more in at[1:]:
+                masks = masks & slots[more]
+        hits = K.sums((masks >> masks.dtype.type(bit % BITS)) & masks.dtype.type(1), first)
         share[:, bit] = np.clip((hits - chance * total) / np.maximum((1 - chance) * total, 1e-9), 0, 1)
     out, score = [], np.zeros(len(texts))
     for i, row in enumerate(share):
@@ -114,18 +117,13 @@ def decide(model: dict, col: pa.Array) -> tuple[list[str], np.ndarray]:
 def learn(docs: DataFrame, sample: int = SAMPLE, parts: int = PARTS, held: int = HELD) -> dict:
     """The model of docs (doc_id, text, lang) outside the held-out fold.
 
-    sample: documents of each language, the first by a hash of doc_id; the ``LANGUAGES``
-    most frequent languages. Null texts and langs teach nothing.
+    sample: documents of each language, the first by a hash of doc_id. Null texts and
+    langs teach nothing.
     """
     known = documents(docs, F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null").where(fold(F.col("doc_id"), parts) != held)
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    order = Window.partitionBy("lang").orderBy("o", "doc_id")
     ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("o"))
-    chosen = None
-    for lang in langs:
-        one = ids.where(F.col("lang") == lang).select("doc_id", "lang", "o").orderBy("o", "doc_id").limit(sample)
-        chosen = one if chosen is None else chosen.union(one)
-    if chosen is None:
-        return {"langs": [], "slots": np.zeros(SLOTS, np.uint8), "chance": np.zeros(0)}
+    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
     rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text", "doc_id")
     return fit_in_task(rows, lambda t: train(sorted(zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True))))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from sieveline.llm import class_lm
+from sieveline.llm import class_lm, language_id
 
 
 def test_words_after_the_top_have_classes_of_their_own(spark):
@@ -38,3 +38,12 @@ def test_best_classes_are_those_of_the_likelihood():
     for u, c in zip(*got, strict=True):
         value = [class_lm.likelihood(matrix(np.where(np.arange(units + 1) == u, k, own))) for k in range(classes - 1)]
         assert value[c] >= max(value) - 1e-6
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """Seventy languages, each of its own words: all are learned and told apart."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(70 * 8)]
+    rows = [(i, " ".join(words[i % 70 * 8 : i % 70 * 8 + 8]), f"l{i % 70:02}") for i in range(700)]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {i: lang for i, _, lang in rows}
