@@ -1,4 +1,7 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by block and window fingerprints against indexed reference blocks.
+
+This stands in place of relative Lempel-Ziv parsing: no match is extended to a
+longest factor, and no factor length is computed.
 
 Documents are cut into blocks by content, so that equal passages are cut alike
 wherever they stand: a window of ``WINDOW`` words belongs to the anchor with the
@@ -6,10 +9,8 @@ smallest hash among its ``ANCHOR``-word sequences, and a block is a run of windo
 of one document with one anchor. The index of reference blocks holds each distinct
 block with the smallest doc_id that has it.
 
-Parsing is greedy: the longest factor available at a place is the whole block, if a
-smaller document has it, and consecutive ones make one long factor. Where a factor
-ends, the next block is in no smaller document as a whole, yet its first or last
-windows can be; so the windows of such boundary blocks are looked up one by one
+A block that a smaller document has as a whole is a duplicate. Beside it, the next
+block is in no smaller document as a whole, yet its first or last windows can be; so the windows of such boundary blocks are looked up one by one
 among the boundary blocks with the same anchor. A window determines its anchor, so
 nothing else can hold it. Windows found are duplicate spans; their words go.
 
