@@ -41,14 +41,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
-def byte_table(fold_case: bool) -> np.ndarray:
-    """A random 64-bit code of each byte; white space has 0; optionally A-Z coded as a-z."""
-    t = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
-    if fold_case:
-        t[65:91] = t[97:123]
-    t[_space] = 0
-    return t
+#: Bytes with A-Z coded as a-z; masks of the first k bytes of a little-endian 8-byte lane.
+_folded = np.arange(256, dtype=np.uint8)
+_folded[65:91] += 32
+_lane = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
+    """64-bit hash of the bytes of each span; spans may overlap and come in any order.
+
+    Eight bytes at a time are keyed by their place and mixed before they are summed, so
+    that no arithmetic between places makes structured spans equal, as it does for a
+    polynomial modulo 2**64.
+    """
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = _folded[data] if fold_case else data
+    lanes = np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+    start, size = np.asarray(start, np.int64), (end - start).astype(np.int64)
+    out = mix((lanes[start] & _lane[np.minimum(size, 8)]) ^ U64(BASE))
+    out += size.astype(U64) * GRAM
+    longer = np.flatnonzero(size > 8)
+    count = (size[longer] - 1) // 8
+    upto = np.cumsum(count)
+    i = 0
+    while i < len(longer):
+        before = int(upto[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, before + PIECE // 8, "right")))
+        mine, many = longer[i:j], count[i:j]
+        head = np.cumsum(many) - many
+        place = np.arange(int(many.sum())) - np.repeat(head, many) + 1
+        left = np.repeat(size[mine], many) - 8 * place
+        value = lanes[np.repeat(start[mine], many) + 8 * place] & _lane[np.minimum(left, 8)]
+        out[mine] += np.add.reduceat(mix(value ^ mix((place + 1).astype(U64) * U64(BASE))), head)
+        i = j
+    return mix(out)
 
 
 @lru_cache(maxsize=4)
@@ -108,40 +134,7 @@ class Words:
 
     def hashes(self, fold_case: bool = False) -> np.ndarray:
         """64-bit hash of each word's bytes."""
-        out = np.empty(len(self.start), U64)
-        table = byte_table(fold_case)
-        i, n = 0, len(self.start)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PIECE, "right")))
-            a, b = int(self.start[i]), int(self.end[j - 1])
-            up, down = _powers(b - a)
-            codes = table[self.data[a:b]]
-            codes *= up[: b - a]
-            at = self.start[i:j] - a
-            # words that touch across a document edge are still apart in ``start``
-            out[i:j] = np.add.reduceat(codes, at) * down[at]
-            i = j
-        return mix(out)
-
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    """64-bit hash of the bytes of each span; spans are in order, not empty, and do not overlap."""
-    out = np.empty(len(start), U64)
-    table = byte_table(fold_case)
-    i, n = 0, len(start)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
-        a, b = int(start[i]), int(end[j - 1])
-        up, down = _powers(b - a)
-        codes = np.zeros(b - a + 1, U64)
-        codes[:-1] = table[data[a:b]]
-        codes[:-1] *= up[: b - a]
-        both = np.empty(2 * (j - i), np.int64)
-        both[::2], both[1::2] = start[i:j] - a, end[i:j] - a
-        # where spans touch, an end is the next start and reduceat gives that one value: drop it
-        out[i:j] = np.add.reduceat(codes, both)[::2] * down[both[::2]]
-        i = j
-    return mix(out)
+        return span_hashes(self.data, self.start, self.end, fold_case)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

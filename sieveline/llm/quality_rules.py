@@ -72,7 +72,7 @@ def statistics(col: pa.Array) -> np.ndarray:
     filled = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
     begin, end = begin[filled], end[filled]
     line_doc = np.searchsorted(words.doc_at, begin, "right") - 1
-    same = _line_hashes(data, begin, end)
+    same = K.span_hashes(data, begin, end)
     order = np.lexsort((same, line_doc))
     again = np.zeros(len(order), bool)
     again[1:] = (same[order][1:] == same[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
@@ -99,25 +99,6 @@ def statistics(col: pa.Array) -> np.ndarray:
     return out
 
 
-def _line_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of every byte of each line, white space counted."""
-    table = K.byte_table(False).copy()
-    table[K._space] = K.mix(np.arange(300, 306, dtype=K.U64))
-    out = np.empty(len(begin), K.U64)
-    i = 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + K.PIECE, "right")))
-        a, b = int(begin[i]), int(end[j - 1])
-        up, down = K._powers(b - a)
-        codes = np.zeros(b - a + 1, K.U64)
-        codes[:-1] = table[data[a:b]] * up[: b - a]
-        both = np.empty(2 * (j - i), np.int64)
-        both[::2], both[1::2] = begin[i:j] - a, end[i:j] - a
-        out[i:j] = np.add.reduceat(codes, both)[::2] * down[both[::2]]
-        i = j
-    return K.mix(out)
-
-
 def _stat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches):
         table = statistics(batch.column("text"))
