@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -184,21 +185,32 @@ def test_mixing(docs):
     assert words == sum(r.taken for r in rows)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("size", "dim"), [(1.0, 6), (3e5, 16), (1e6, 64), (1e150, 3)])
+def test_top_k(spark, size, dim):
+    """Brute force in Python's integers, with equal rows under other ids, repeated rows and vectors that take no part."""
     rng = np.random.default_rng(1)
-    vectors = rng.normal(size=(700, 6)).round(1)
+    vectors = (rng.normal(size=(700, dim)) * size).round(1)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    rows += [(1000 + i, rows[3][1]) for i in range(200)] + [(5000, None), (5100, []), (5200, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5300, [float("nan")] * 6), (5400, [float("inf")] * 6), (None, rows[0][1]), (100, rows[100][1])]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)] + [(17, rows[17][1])] * 3 + [(100, rows[100][1]), (2100, [1.0, 2.0]), (2101, [3.5, -1.0])]
+    odd = [(5000, None), (5100, []), (5200, [1.0, None] + [0.0] * (dim - 2)), (5300, [float("nan")] * dim), (5400, [float("inf")] * dim), (None, rows[0][1])]
     got = defaultdict(list)
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=128, block=3).collect():
+    for r in topk.top_k(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), shard=128, block=3).collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    fine = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows if i is not None and i < 5000}
-    assert set(got) == {i for i in fine if i % 100 == 0}
+    fine = [(i, [int(math.floor(Fraction(x) * 1024)) for x in v]) for i, v in rows]
+    asked = {i: v for i, v in fine if i % 100 == 0}
+    assert set(got) == set(asked) - {5000}
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
     for q, found in got.items():
-        want = sorted(((-int(fine[q] @ v), i) for i, v in fine.items() if i != q))[:10]
+        want = sorted((-clip(sum(a * b for a, b in zip(asked[q], v, strict=True))), i) for i, v in fine if i != q and len(v) == len(asked[q]))[:10]
         assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
 
 
+def test_top_k_of_one_shard(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(0, 300)]
+    got = sorted((r.rank, r.vec_id) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.query_id == 100)
+    assert [i for _, i in got] == sorted((i for i, v in rows if i != 100), key=lambda i: (-(1024 * 1024 * (i % 7 * (100 % 7) + 1)), i))[:10]
+
+
 def _fold(i, parts):
     return zlib.crc32((str(i) if i is not None else "").encode()) % parts
 
