@@ -55,18 +55,14 @@ def whole(e: np.ndarray, scale: int) -> np.ndarray:
 
 
 def _largest(v: np.ndarray) -> int:
-    return max((abs(int(x)) for x in (v.max(), v.min())), default=0) if v.size else 0
+    return max(abs(int(v.max())), abs(int(v.min()))) if v.size else 0
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of integer rows x with q, exact; beyond the range of long they count as its ends."""
-    most = _largest(x) * sum(abs(int(c)) for c in q)
-    if most < 1 << 53:
-        return (x.astype(float) @ q.astype(float)).astype(np.int64)
-    if most < HIGH and x.dtype != object and q.dtype != object:
-        return x @ q
-    found = x.astype(object) @ q.astype(object)
-    return np.array([min(max(s, LOW), HIGH) for s in found], np.int64)
+    """Inner products of rows x with q, Python integers beyond the range of long count as its ends."""
+    if x.dtype != object:
+        return (x @ q).astype(np.int64)
+    return np.array([min(max(s, LOW), HIGH) for s in x @ q], np.int64)
 
 
 def _far_pair(points: np.ndarray) -> np.ndarray:
@@ -77,20 +73,20 @@ def _far_pair(points: np.ndarray) -> np.ndarray:
 
 
 class BallTree:
-    """Nodes in arrays; leaves own a slice of ``order``. Halves by rank along the direction of two far points."""
+    """Nodes in arrays; leaves own a slice of the vectors. Halves by rank along the direction of two far points."""
 
     def __init__(self, v: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        self.v, self.ids = v, ids
-        self.order = np.arange(len(v))
+        order = np.arange(len(v))
         self.span, self.children = [], []
         centre, radius = [], []
         # beyond this, squares overflow: one leaf that is always visited
-        self.huge = _largest(v) > 10**100
-        x = np.zeros((len(v), v.shape[1])) if self.huge else v.astype(float)
+        self.most = _largest(v)
+        huge = self.most > 10**100
+        x = np.zeros((len(v), v.shape[1])) if huge else v.astype(float)
         stack = [(0, len(x), -1)]
         while stack:
             a, b, parent = stack.pop()
-            mine, node = self.order[a:b], len(centre)
+            mine, node = order[a:b], len(centre)
             points = x[mine]
             middle = points.mean(axis=0)
             reach = float(np.sqrt(((points - middle) ** 2).sum(axis=1)).max())
@@ -99,12 +95,24 @@ class BallTree:
                 self.children[parent].append(node)
             if b - a > leaf and reach > 0:
                 half = np.argsort(points @ _far_pair(points), kind="stable")
-                self.order[a:b] = mine[half]
+                order[a:b] = mine[half]
                 stack += [(a, (a + b) // 2, node), ((a + b) // 2, b, node)]
-        self.centre, self.radius = np.array(centre), np.full(len(radius), np.inf) if self.huge else np.array(radius)
+        self.centre, self.radius = np.array(centre), np.full(len(radius), np.inf) if huge else np.array(radius)
+        self.v, self.ids = v[order], ids[order]
+
+    def exact(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors and q in the cheapest type in which their products are exact."""
+        most = float(np.abs(q.astype(float)).sum()) * self.most if max(self.most, _largest(q)) < 1 << 62 else math.inf
+        kind = float if most < 2.0**52 else np.int64 if most < 2.0**62 else object
+        if kind is not float:
+            return self.v.astype(kind, copy=False), q.astype(kind)
+        if not hasattr(self, "x"):
+            self.x = self.v.astype(float)
+        return self.x, q.astype(float)
 
     def search(self, q: np.ndarray, bounds: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
         """The best k (score, id), ties to smaller ids, of candidates that may reach ``floor``; own: the id to leave out."""
+        x, q = self.exact(q)
         best: list[tuple[int, int]] = []  # a heap of (score, -id): its least is the current kth
         heap = [(-bounds[0], 0)]
         while heap:
@@ -116,8 +124,7 @@ class BallTree:
                     heapq.heappush(heap, (-bounds[child], child))
                 continue
             a, b = self.span[node]
-            mine = self.order[a:b]
-            scores, names = products(self.v[mine], q), self.ids[mine]
+            scores, names = products(x[a:b], q), self.ids[a:b]
             keep = names != own if floor is None else (names != own) & (scores >= floor)
             for s, i in zip(scores[keep].tolist(), names[keep].tolist(), strict=True):
                 if len(best) < k:
