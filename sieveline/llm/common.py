@@ -73,3 +73,17 @@ def fold(doc_id: Column, parts: int) -> Column:
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, with null texts as null; other columns only where named, so clashing extras never matter."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def met(rows: DataFrame, index: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """rows joined with index, which has each key once and, in its column rows, how many rows have it.
+
+    Keys with more than 1 / hot of all rows would each fill a task; there are fewer than
+    hot of them, so their part of the index is broadcast. The others meet by shuffle.
+    """
+    least = max(rows.count() // hot, 1000)
+    many = index.where(F.col("rows") > least)
+    if many.isEmpty():
+        return rows.join(index, keys)
+    crowd = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(index.where(F.col("rows") <= least), keys)
+    return crowd.unionByName(rows.join(F.broadcast(many), keys))

@@ -92,6 +92,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(size)
 
 
+def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and the offset of each row, one more than rows; nulls are empty."""
+    col = pc.fill_null(col, "") if col.null_count else col
+    wide = pa.types.is_large_string(col.type)
+    at = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32, len(col) + 1, col.offset * (8 if wide else 4)).astype(np.int64)
+    found = col.buffers()[2]
+    return np.frombuffer(found, np.uint8)[at[0] : at[-1]] if found is not None else np.zeros(0, np.uint8), at - at[0]
+
+
 class Words:
     """The words of a slice of documents.
 
@@ -103,13 +112,8 @@ class Words:
     __slots__ = ("data", "doc_at", "end", "first", "start")
 
     def __init__(self, col: pa.Array):
-        col = pc.fill_null(col, "") if col.null_count else col
-        wide = pa.types.is_large_string(col.type)
+        self.data, self.doc_at = raw(col)
         n = len(col)
-        at = np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32, n + 1, col.offset * (8 if wide else 4)).astype(np.int64)
-        raw = col.buffers()[2]
-        self.data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
-        self.doc_at = at - at[0]
         size = len(self.data)
         if not size:
             self.start = self.end = np.zeros(0, np.int64)

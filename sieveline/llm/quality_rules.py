@@ -217,7 +217,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("y") == v).select("doc_id", "y", order.alias("o")).orderBy("o", "doc_id").limit(sample) for v in (0, 1)]
     picked = chosen[0].union(chosen[1])
-    rows = text_statistics(documents(docs).where("text is not null").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(picked), "doc_id").where(~base_failed())
+    texts = documents(docs).where("text is not null").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = text_statistics(texts).join(F.broadcast(picked), "doc_id").where(~base_failed())
     table = rows.select("o", "doc_id", "y", *(F.expr(v).cast("double").alias(k) for k, v in FEATURES.items())).toPandas().sort_values(["o", "doc_id", *FEATURES])
     return {k: table[k].to_numpy(float) for k in FEATURES}, table["y"].to_numpy() == 0
 

@@ -18,13 +18,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: i
     """(o, doc_id, y, text) of at most ``most`` documents of each label, outside the held-out fold.
 
     A bounded sample by a hash of doc_id: the same rows on every run. Documents without
-    text or label are left out; of a doc_id labelled more than once the largest label counts.
+    text or label are left out; of a doc_id labelled more than once the largest label
+    counts, of one with several rows the least text.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(fold(F.col("doc_id"), parts) != held)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("y") == v).select("doc_id", "y", order.alias("o")).orderBy("o", "doc_id").limit(most) for v in (0, 1)]
-    return docs.where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("o", "doc_id", "y", "text")
+    return docs.where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("o", "doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
