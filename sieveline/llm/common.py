@@ -75,6 +75,16 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, text): each distinct text of each doc_id once, however often its row is repeated; tid is its hash."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tid"), "text")
+    twice = cut(texts.groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "tid"))
+    if twice.isEmpty():
+        return texts
+    again = texts.join(twice, ["doc_id", "tid"], "left_semi").groupBy("doc_id", "tid").agg(F.min("text").alias("text"))
+    return cut(texts.join(twice, ["doc_id", "tid"], "left_anti").unionByName(again))
+
+
 def met(rows: DataFrame, index: DataFrame, keys: list[str], hot: int) -> DataFrame:
     """rows joined with index, which has each key once and, in its column rows, how many rows have it.
 

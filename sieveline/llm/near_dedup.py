@@ -14,11 +14,11 @@ At J = 0.75 a pair is missed with probability below 1e-5 (32 coordinates of 3
 minima, 3 matches).
 
 No posting list is ever expanded into all its pairs. Exact copies (equal sets)
-share one node. Each round takes one hub of every posting list that still spans
-several components, tests the list's other components against it, contracts the
-confirmed links and drops the hub from the list; once the pairs left across
-components number no more than ``LINEAR`` times the nodes, they are tested
-directly. If a round leaves more, the shingles that only one open set has are
+share one node. Each round takes hubs of every posting list that still spans several
+components, one in the first round and twice as many in each round after, tests the
+list's other components against them, contracts the confirmed links and drops the
+hubs from the list; once the pairs left across components number no more than
+``LINEAR`` times the nodes, they are tested directly. If a round leaves more, the shingles that only one open set has are
 counted: such a shingle is in no intersection, so a set with few others cannot
 reach the similarity, and leaves the lists for good. What sets share with their
 list's hub, and what they have besides, bounds their overlaps with each other. ``PROBES`` pairs a node may then be held against
@@ -35,14 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut, documents, prepare
+from .common import cut, distinct_texts, documents, met, prepare
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 COORDINATES, FOLD, MATCHES = 32, 3, 3
 LINEAR, PROBES = 4, 128
-#: Ids that a broadcast may hold; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Ids that a broadcast may hold; more are joined by shuffle. Keys with more than 1 / HOT of the rows are joined by broadcast.
+BROADCAST_IDS, HOT = 500_000, 10_000
+#: Pairs of one set that are tested in a row, so that the set is sent once.
+TOGETHER = 256
 #: Rows a file of the tables that rounds write: nodes with signatures, posting rows, pairs of sets.
 NODE_ROWS, LIST_ROWS, PAIR_ROWS = 20_000, 500_000, 5_000
 
@@ -94,8 +96,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mark[some, 1] = np.add.reduceat(K.mix(g + K.GRAM), at)
         flat = pa.array(sig.reshape(-1).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(mark[:, 0].view(np.int64)), pa.array(mark[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), flat)],
-            names=["doc_id", "n_shingles", "m1", "m2", "sig"],
+            [batch.column("doc_id"), batch.column("tid"), pa.array(n.astype(np.int64)), pa.array(mark[:, 0].view(np.int64)), pa.array(mark[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), flat)],
+            names=["doc_id", "tid", "n_shingles", "m1", "m2", "sig"],
         )
 
 
@@ -104,17 +106,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, first = _distinct(*shingles(K.Words(batch.column("text"))))
         at = first.astype(np.int64) * 8
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(at), pa.py_buffer(g)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], names=["node", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), packed], names=["node", "packed"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches):
         g, first = _distinct(*shingles(K.Words(batch.column("text"))))
-        node = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(first))
+        node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(first))
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(g.view(np.int64))], names=["node", "g"])
 
 
-def _partnered(lists: DataFrame, hubs: DataFrame, docs: DataFrame, files: int) -> DataFrame:
+def _partnered(lists: DataFrame, hubs: DataFrame, texts: DataFrame, reps: DataFrame, files: int) -> DataFrame:
     """The lists without the sets that can have no link in them; common: what a set shares with other open sets.
 
     Sets a and b link only if they share PERCENT / (100 + PERCENT) of their summed
@@ -122,7 +124,7 @@ def _partnered(lists: DataFrame, hubs: DataFrame, docs: DataFrame, files: int) -
     list still compares and the hubs, so the bound is exact.
     """
     open_nodes = lists.select("node").union(hubs.select("node")).distinct()
-    rows = _texts(docs, open_nodes, files).distinct().mapInArrow(_shingle_rows, "node long, g long")
+    rows = _texts(texts, reps, open_nodes, files).mapInArrow(_shingle_rows, "node long, g long")
     alone = rows.groupBy("g").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     sized = lists.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
@@ -130,37 +132,49 @@ def _partnered(lists: DataFrame, hubs: DataFrame, docs: DataFrame, files: int) -
     return cut(sized.join(least, "key").where(f"{100 + PERCENT} * common >= {PERCENT} * (n + least)").select(*lists.columns), files)
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
-    """The documents of the nodes; ids are broadcast if there are few, so that texts need not move."""
-    nodes = cut(nodes.select(F.col("node").alias("doc_id")), files)
-    return docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "doc_id", "left_semi")
+def _texts(texts: DataFrame, reps: DataFrame, nodes: DataFrame, files: int) -> DataFrame:
+    """(node, text) of the nodes; ids are broadcast if there are few, so that texts need not move."""
+    wanted = cut(reps.join(nodes, "node", "left_semi"), files)
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["doc_id", "tid"]).select("node", "text")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair's full sets: the overlap, whether it is a link, and what either has more, unless they are far apart."""
+    """Of each pair's full sets: the overlap, whether it is a link, and what either has more, unless they are far apart.
+
+    Rows (a, b, packed): the set of a, with b null, comes before the sets of its partners b.
+    """
+    held = np.zeros(0, K.U64)
     for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        overlap, linked, more = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, bool), ([], [])
+        packed, is_pair = batch.column("packed"), batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+        pairs = np.flatnonzero(is_pair)
+        overlap, linked, more = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool), ([], [])
+        at = 0
         for i in range(batch.num_rows):
-            a, b = np.frombuffer(left[i].as_buffer(), K.U64), np.frombuffer(right[i].as_buffer(), K.U64)
-            only_a, only_b = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
-            both = len(a) - len(only_a)
-            overlap[i], linked[i] = both, both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
-            near = 2 * both >= max(len(a), len(b))
+            b = np.frombuffer(packed[i].as_buffer(), K.U64)
+            if not is_pair[i]:
+                held = b.copy()
+                continue
+            only_a, only_b = np.setdiff1d(held, b, assume_unique=True), np.setdiff1d(b, held, assume_unique=True)
+            both = len(held) - len(only_a)
+            overlap[at], linked[at] = both, both > 0 and 100 * both >= PERCENT * (len(held) + len(b) - both)
+            near = 2 * both >= max(len(held), len(b))
             for side, only in zip(more, (only_a, only_b), strict=True):
                 side.append(only.view(np.int64) if near else None)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap), pa.array(linked), *(pa.array(side, pa.list_(pa.int64())) for side in more)], names=["a", "b", "both", "linked", "more_a", "more_b"])
+            at += 1
+        rows = pa.array(pairs)
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(overlap), pa.array(linked), *(pa.array(side, pa.list_(pa.int64())) for side in more)], names=["a", "b", "both", "linked", "more_a", "more_b"])
 
 
 def _collisions() -> Column:
     return F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _collided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole signatures agree often enough."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").where(_collisions() >= MATCHES).select("a", "b")
+def _near_hubs(open_: DataFrame, hubs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a list's hub a and a member b in another component whose whole signatures agree often enough."""
+    left = open_.select("key", F.col("node").alias("b"), "label", F.col("n").alias("nb")).join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    right = hubs.join(nodes.select(F.col("node").alias("hub_now"), F.col("sig").alias("sa"), F.col("n").alias("na")), "hub_now").withColumnRenamed("key", "hub_key")
+    sized = F.expr(f"label <> hub_label and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    return left.join(right, (F.col("key") == F.col("hub_key")) & sized & (_collisions() >= MATCHES)).select(F.col("hub_now").alias("a"), "b").distinct()
 
 
 def _across(lists: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
@@ -184,13 +198,17 @@ def _across(lists: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
     return one.join(two, (F.col("key") == F.col("key_b")) & F.expr(sized) & first & (_collisions() >= MATCHES) & F.expr(bound)).select("a", "b")
 
 
-def _tested(likely: DataFrame, docs: DataFrame, files: int | None) -> DataFrame:
+def _tested(likely: DataFrame, texts: DataFrame, reps: DataFrame, files: int | None) -> DataFrame:
     """(a, b, both, linked, more_a, more_b) of the candidate pairs, from their full sets."""
     likely = cut(likely, files)
     files = 1 + likely.count() // PAIR_ROWS
     needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_texts(docs, needed, files).mapInArrow(_sets, "node long, packed binary"))
-    rows = likely.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
+    sets = cut(_texts(texts, reps, needed, files).mapInArrow(_sets, "node long, packed binary"))
+    # the set of a goes once to every chunk of its partners, whose sets follow it
+    chunks = likely.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("chunks"))
+    heads = chunks.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>")).alias("chunk")).join(sets.withColumnRenamed("node", "a"), "a")
+    partners = likely.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")).join(sets.withColumnRenamed("node", "b"), "b")
+    rows = heads.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()).select("a", "b", "packed")
     return cut(rows.mapInArrow(_confirm, "a long, b long, both long, linked boolean, more_a array<long>, more_b array<long>"), files)
 
 
@@ -205,12 +223,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = documents(docs)
-    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, m1 long, m2 long, sig array<long>"))
+    texts = distinct_texts(docs)
+    sketches = cut(docs.withColumn("tid", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, tid long, n_shingles long, m1 long, m2 long, sig array<long>"))
     named = sketches.where("doc_id is not null and n_shingles > 0")
-    # exact copies: one node for each distinct set, named by its smallest doc_id
-    classes = cut(named.groupBy(F.col("n_shingles").alias("n"), "m1", "m2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig")), 1 + sketches.count() // NODE_ROWS)
-    mine = named.join(classes.select(F.col("n").alias("n_shingles"), "m1", "m2", "node"), ["n_shingles", "m1", "m2"]).select("doc_id", "node")
-    nodes = classes.select("node", "n", "sig")
+    # exact copies: one node for each distinct set, whose text is the first document's
+    same = ["n_shingles", "m1", "m2"]
+    classes = named.groupBy(*same).agg(F.min(F.struct("doc_id", "tid")).alias("rep"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), 1 + sketches.count() // NODE_ROWS)
+    mine = cut(met(named.select("doc_id", *same), classes.select(*same, "node", "rows"), same, HOT).select("doc_id", "node"))
+    nodes = classes.select("node", F.col("n_shingles").alias("n"), "sig")
+    reps = classes.select("node", "rep.doc_id", "rep.tid")
 
     prefix = COORDINATES - MATCHES + 1
     posted = nodes.select("node", "n", F.posexplode(F.slice("sig", 1, prefix)).alias("c", "v"))
@@ -228,36 +250,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while True:
         open_ = (lists.join(labels, "node", "left") if labels is not None else lists.withColumn("label", F.lit(None).cast("long"))).withColumn("label", F.coalesce("label", "node"))
         spans = open_.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own")).where("all * all > own")
-        open_ = cut(open_.join(spans.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2 / F.col("all")).alias("w")), "key"), files)
+        open_ = cut(open_.join(spans.select("key", "all", ((F.col("all") * F.col("all") - F.col("own")) / 2 / F.col("all")).alias("w")), "key"), files)
         left = open_.agg(F.sum("w")).first()[0]
         if not left:
             break
         open_ = open_.drop("w")
         if turn and left > LINEAR * total and not bounded:
-            lists, bounded = _partnered(open_.drop("label"), open_.select(F.col("hub").alias("node")), docs, files), True
+            lists, bounded = _partnered(open_.drop("label", "all"), open_.select(F.col("hub").alias("node")), texts, reps, files), True
             continue
         if turn and left <= (PROBES if bounded else LINEAR) * total:
-            found = _tested(_across(open_, nodes, tested), docs, None)
+            found = _tested(_across(open_.drop("all"), nodes, tested), texts, reps, None)
             labels = components(links.union(found.where("linked").select("a", "b")), files=files)
             break
         order = F.xxhash64("node", F.lit(turn))
-        hubs = cut(open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.struct(order, "node")).alias("h")).select("key", F.col("h.node").alias("hub_now"), F.col("h.label").alias("hub_label")), files)
-        met = open_.join(hubs, "key").where("label <> hub_label").select(F.least("node", "hub_now").alias("a"), F.greatest("node", "hub_now").alias("b")).distinct()
-        now = _tested(_collided(met, nodes), docs, files)
+        first = open_.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.struct(order, "node")).alias("h")).select("key", F.col("h.node").alias("hub_now"), F.col("h.label").alias("hub_label"))
+        more = open_.where(F.pmod(order, "all") < 2**turn - 1).select("key", F.col("node").alias("hub_now"), F.col("label").alias("hub_label"))
+        hubs = cut(first.union(more).distinct() if turn else first, files)
+        now = _tested(_near_hubs(open_, hubs, nodes), texts, reps, files)
         links = links.union(now.where("linked").select("a", "b"))
         labels = components(links, files=files)
-        lists = open_.join(hubs.select("key", "hub_now"), "key").where("node <> hub_now").drop("label")
-        if turn:
-            lists = lists.drop("hub_now")
-        else:
-            lists, tested = lists.withColumnRenamed("hub_now", "hub"), now
-        lists = cut(lists, files)
+        rest = open_.join(hubs.select("key", F.col("hub_now").alias("node")), ["key", "node"], "left_anti").drop("label", "all")
+        if not turn:
+            rest, tested = rest.join(hubs.select("key", F.col("hub_now").alias("hub")), "key"), now
+        lists = cut(rest, files)
         turn += 1
     if labels is None:
         labels = components(links)
     found = mine.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
+    found = cut(found)
+    names = cut(found.groupBy("label").agg(F.min("doc_id").alias("component"), F.count("*").alias("rows")))
+    found = met(found, names, ["label"], HOT).select("doc_id", "component")
     out = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    component = F.coalesce("label", "doc_id")
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import cut, documents, met, prepare
+from .common import cut, distinct_texts, documents, met, prepare
 
 WINDOW, ANCHOR = 50, 12
 #: Keys with more than this share of all rows are joined by broadcast: there are at most HOT of them.
@@ -182,22 +182,13 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield parsed(held)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, text): each distinct text of each doc_id once, however often its row is repeated; tid is its hash."""
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tid"), "text")
-
-
 def parse(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, start, n, source, source_start): the factors of every text, n words from word start, and where they come from.
 
     tid is the text's hash. Factors of boundary windows have one window each. Repeated
     rows are parsed once.
     """
-    texts = _texts(docs)
-    twice = cut(texts.groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", "tid"))
-    if not twice.isEmpty():
-        again = texts.join(twice, ["doc_id", "tid"], "left_semi").groupBy("doc_id", "tid").agg(F.min("text").alias("text"))
-        texts = cut(texts.join(twice, ["doc_id", "tid"], "left_anti").unionByName(again))
+    texts = distinct_texts(docs)
     blocks = cut(texts.mapInArrow(_blocks, "anchor long, content long, doc_id long, tid long, start int, n short"))
     source = F.min(F.struct("doc_id", "start")).alias("s")
     index = cut(blocks.groupBy("anchor", "content").agg(source, F.max("doc_id").alias("last_doc"), F.count("*").alias("rows")).select("anchor", "content", F.col("s.doc_id").alias("source"), F.col("s.start").alias("source_start"), "last_doc", "rows"))
