@@ -1,8 +1,16 @@
 """BM25 over a corpus (ordinal, text): index tables, scores and top-k with corpus-order ties.
 
-Zero scores are kept implicit: only documents with a query term are scored, and a
-query that has fewer than k of them is filled from the first documents in corpus
-order, which is where zero scores would rank.
+``scores`` scores every document that has a query term. ``search`` finds the same
+top-k without that: documents with a rare term of the query are scored on their rare
+terms first; the common terms, which most documents have, can add no more than the
+sum of their highest impacts. Where that cannot lift a document without a rare term to
+the kth score, only the rare ones that can still reach it are looked at. Otherwise the
+ranking by common terms alone, which is one for all queries with the same common
+terms, adds its first documents. The candidates are then scored in full.
+
+Zero scores are kept implicit: a query that has fewer than k scored documents is
+filled from the first other documents in corpus order, which is where zero scores
+would rank.
 """
 
 from __future__ import annotations
@@ -13,8 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.ordinals import with_ordinals
+from ..sources.tables import written
 
 TIE_BREAKS = ("corpus_ordinal",)
+#: A term is common if more than one document in so many has it; places looked at beyond the needed ones; allowance for rounding.
+COMMON, SPARE, SLACK = 50, 64, 1e-6
 
 
 def ordered_sum(pos: str, value: Column) -> Column:
@@ -25,22 +37,35 @@ def ordered_sum(pos: str, value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    tf: DataFrame  # ordinal, term, tf, dl
-    idf: DataFrame  # term, df, raw_idf, idf
+    tf: DataFrame  # ordinal, dl, term, tf
+    idf: DataFrame  # term, df, raw_idf, idf, most: the highest impact of the term
     stats: DataFrame  # n_docs, avgdl, average_idf, vocabulary: one row
     docs: DataFrame  # ordinal, dl
+    k1: float
+    b: float
 
+    def impact(self) -> Column:
+        """What a posting contributes by unit of idf and query frequency, given avgdl."""
+        return (F.col("tf") * (self.k1 + 1)) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
 
-def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25) -> Index:
-    """Negative raw idf is replaced by epsilon times the mean raw idf of the vocabulary; zero stays."""
-    docs = corpus.select("ordinal", tokens("text", tokenizer).alias("tokens")).withColumn("dl", F.size("tokens"))
-    tf = docs.select("ordinal", "dl", F.explode("tokens").alias("term")).groupBy("ordinal", "dl", "term").agg(F.count("*").alias("tf"))
+    def postings(self) -> DataFrame:
+        """tf with avgdl."""
+        return self.tf.crossJoin(F.broadcast(self.stats.select("avgdl")))
+
+
+def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Index:
+    """Written index tables. Negative raw idf is replaced by epsilon times the mean raw idf of the vocabulary; zero stays."""
+    split = corpus.select("ordinal", tokens("text", tokenizer).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tf = written(split.select("ordinal", "dl", F.explode("tokens").alias("term")).groupBy("ordinal", "dl", "term").agg(F.count("*").alias("tf")))
+    docs = written(split.select("ordinal", "dl"))
     size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    index = Index(tf, tf, size, docs, k1, b)
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).withColumn("raw_idf", raw)
+    df = index.postings().groupBy("term").agg(F.count("*").alias("df"), F.max(index.impact()).alias("most")).crossJoin(F.broadcast(size.select("n_docs"))).withColumn("raw_idf", raw)
+    df = written(df.drop("n_docs"))
     mean = df.agg(F.avg("raw_idf").alias("average_idf"), F.count("*").alias("vocabulary"))
-    idf = df.crossJoin(F.broadcast(mean)).select("term", "df", "raw_idf", F.when(F.col("raw_idf") >= 0, F.col("raw_idf")).otherwise(epsilon * F.col("average_idf")).alias("idf"))
-    return Index(tf, idf, size.crossJoin(mean), docs.select("ordinal", "dl"))
+    idf = df.crossJoin(F.broadcast(mean)).select("term", "df", "raw_idf", F.when(F.col("raw_idf") >= 0, F.col("raw_idf")).otherwise(epsilon * F.col("average_idf")).alias("idf"), "most")
+    return Index(tf, written(idf), written(size.crossJoin(mean)), docs, k1, b)
 
 
 def query_terms(queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
@@ -48,30 +73,91 @@ def query_terms(queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
     return queries.select("qid", F.posexplode(tokens("text", tokenizer)).alias("pos", "term")).groupBy("qid", "term").agg(F.min("pos").alias("pos"), F.count("*").alias("qf"))
 
 
-def scores(index: Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokenizer: str = "regex") -> DataFrame:
+def _summed(index: Index, met: DataFrame) -> DataFrame:
+    """qid, ordinal, score of postings met by query terms."""
+    norm = index.k1 * (1 - index.b + index.b * F.col("dl") / F.col("avgdl"))
+    part = F.col("idf") * F.col("qf") * (F.col("tf") * (index.k1 + 1)) / (F.col("tf") + norm)
+    return met.groupBy("qid", "ordinal").agg(ordered_sum("pos", part).alias("score"))
+
+
+def scores(index: Index, queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
     """qid, ordinal, score of documents that have a query term."""
     terms = query_terms(queries, tokenizer).join(index.idf.select("term", "idf"), "term")
-    met = terms.join(index.tf, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    part = F.col("idf") * F.col("qf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + norm)
-    return met.groupBy("qid", "ordinal").agg(ordered_sum("pos", part).alias("score"))
+    return _summed(index, terms.join(index.postings(), "term"))
 
 
-def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, tie_break: str = "corpus_ordinal") -> DataFrame:
-    """qid, ordinal, score, rank: score descending, then corpus order; unscored documents count as 0."""
+def _checked(k: int, tie_break: str) -> None:
     if tie_break not in TIE_BREAKS:
         raise ValueError(f"Unknown tie-break mode {tie_break!r}")
     if k <= 0:
         raise ValueError("k must be positive")
+
+
+def _order():
     # scores are compared at 9 decimals, so that the last bit of a sum does not break a tie
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "ordinal")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    have = scored.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0).alias("fine"))
-    short = queries.select("qid").join(have, "qid", "left").where(F.coalesce("fine", F.lit(0)) < k).select("qid", F.coalesce("n", F.lit(0)).alias("n"))
-    # fewer than k scored: the first 2k documents hold k unscored ones; else negative scores, which any document beats
-    head = docs.select("ordinal").orderBy("ordinal").limit(2 * k)
-    few = short.where(F.col("n") < k).select("qid").crossJoin(F.broadcast(head))
-    beaten = short.where(F.col("n") >= k).select("qid").crossJoin(docs.select("ordinal"))
-    fill = few.union(beaten).join(scored.select("qid", "ordinal"), ["qid", "ordinal"], "left_anti").withColumn("score", F.lit(0.0))
+    return Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "ordinal")
+
+
+def unscored(scored: DataFrame, asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """qid, ordinal: the first k documents in corpus order that scored does not have, of the queries asked.
+
+    Documents are numbered in order; a query's gaps between scored numbers are where the
+    others are, and only the first of them are opened.
+    """
+    places = written(with_ordinals(docs.select(F.col("ordinal").alias("doc")), "doc").withColumnRenamed("ordinal", "place"))
+    total = places.count()
+    taken = scored.join(asked.select("qid"), "qid", "left_semi").join(places, F.col("ordinal") == F.col("doc")).select("qid", "place")
+    taken = taken.unionByName(asked.select("qid", F.lit(total).cast("long").alias("place")))
+    order = Window.partitionBy("qid").orderBy("place")
+    gaps = taken.select("qid", "place", (F.row_number().over(order) - 1).alias("before"), (F.lag("place", 1, -1).over(order) + 1).alias("low"))
+    # low - before others are in earlier gaps
+    high = F.least(F.col("place"), F.col("before") + k) - 1
+    open_ = gaps.withColumn("high", high).where("low <= high")
+    return open_.select("qid", F.explode(F.sequence("low", "high")).alias("place")).join(places, "place").select("qid", F.col("doc").alias("ordinal"))
+
+
+def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, tie_break: str = "corpus_ordinal") -> DataFrame:
+    """qid, ordinal, score, rank: score descending, then corpus order; unscored documents count as 0.
+
+    scored is read more than once; write it first if it is dear.
+    """
+    _checked(k, tie_break)
+    best = scored.withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= k)
+    fine = best.groupBy("qid").agg(F.count_if(F.col("score") >= 0).alias("fine"))
+    short = queries.select("qid").join(fine.where(F.col("fine") >= k), "qid", "left_anti")
+    if short.isEmpty():
+        return best
+    short = written(short)
+    fill = unscored(scored, short, docs, k).withColumn("score", F.lit(0.0))
     out = best.select("qid", "ordinal", "score").unionByName(fill)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= k)
+
+
+def search(index: Index, queries: DataFrame, k: int, tokenizer: str = "regex", tie_break: str = "corpus_ordinal") -> DataFrame:
+    """The top_k of scores, from the documents that can be in it."""
+    _checked(k, tie_break)
+    if (index.idf.agg(F.min("idf")).first()[0] or 0) < 0:  # in a tiny corpus a common term can count against a document
+        return top_k(written(scores(index, queries, tokenizer)), queries, index.docs, k, tie_break)
+    known = query_terms(queries, tokenizer).join(index.idf.select("term", "df", "idf", "most"), "term").crossJoin(F.broadcast(index.stats.select("n_docs")))
+    weight = F.col("idf") * F.col("qf")
+    terms = written(known.select("qid", "term", "pos", "qf", "idf", weight.alias("weight"), (weight * F.col("most")).alias("bound"), (F.col("df") * COMMON > F.col("n_docs")).alias("common")))
+    impacts = index.postings().select("ordinal", "term", index.impact().alias("impact"))
+    rare = written(terms.where("not common").select("qid", "term", "weight").join(impacts, "term").groupBy("qid", "ordinal").agg(F.sum(F.col("weight") * F.col("impact")).alias("partial")))
+    order = Window.partitionBy("qid").orderBy(F.desc("partial"), "ordinal")
+    kth = rare.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).groupBy("qid").agg(F.count("*").alias("n"), F.min("partial").alias("kth")).where(F.col("n") == k).select("qid", "kth")
+    counts = rare.groupBy("qid").agg(F.count("*").alias("rare"))
+    rest = terms.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("bound"))), F.lit(0.0)).alias("rest"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.when(F.col("common"), F.struct("term", "qf"))))), 256).alias("signature"))
+    plan = rest.join(counts, "qid", "left").join(kth, "qid", "left").na.fill(0, ["rare"])
+    plan = written(plan.withColumn("open", F.col("kth").isNull() | (F.col("rest") + SLACK >= F.col("kth"))))
+    reach = rare.join(plan.select("qid", "kth", "rest"), "qid").where(F.col("kth").isNull() | (F.col("partial") + F.col("rest") + SLACK >= F.col("kth"))).select("qid", "ordinal")
+    open_ = plan.where("open")
+    most = open_.agg(F.max("rare")).first()[0]
+    if most is not None:
+        shared = terms.where("common").join(open_.select("qid", "signature"), "qid").select("signature", "term", "weight").distinct()
+        ranked = shared.join(impacts, "term").groupBy("signature", "ordinal").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+        place = F.row_number().over(Window.partitionBy("signature").orderBy(F.round("score", 9).desc(), "ordinal"))
+        ranked = ranked.withColumn("place", place).where(F.col("place") <= k + most + SPARE).select("signature", "ordinal", "place")
+        first = open_.join(ranked, "signature").where(F.col("place") <= F.col("rare") + k + SPARE).select("qid", "ordinal")
+        reach = reach.unionByName(first).distinct()
+    met = reach.join(terms.select("qid", "term", "pos", "qf", "idf"), "qid").join(index.postings(), ["ordinal", "term"])
+    return top_k(written(_summed(index, met)), queries, index.docs, k, tie_break)

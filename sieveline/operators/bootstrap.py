@@ -8,20 +8,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DRAWS, SEED = 10_000, 20260804
+#: Picks that a task makes at a time.
+CHUNK = 1 << 20
 
 
 def resampled_means(delta: np.ndarray, strata: np.ndarray, draws: int, seed: int) -> np.ndarray:
-    """Mean of each draw; strata in order of first appearance, one generator for all."""
+    """Mean of each draw. One generator picks draw by draw, and in a draw stratum by stratum in order of first appearance.
+
+    A call with an array of bounds takes the same picks from the generator's stream as
+    single choices one after the other, so many draws are made at a time.
+    """
     rng = np.random.default_rng(seed)
-    total = np.zeros(draws)
-    for name in dict.fromkeys(strata.tolist()):
-        own = delta[strata == name]
-        total += own[rng.integers(0, len(own), size=(draws, len(own)))].sum(axis=1)
-    return total / len(delta)
+    own = [delta[strata == name] for name in dict.fromkeys(strata.tolist())]
+    sizes = np.array([len(x) for x in own])
+    bounds, edges = np.repeat(sizes, sizes), np.concatenate([[0], np.cumsum(sizes)])
+    step, out = max(1, CHUNK // len(delta)), np.empty(draws)
+    for at in range(0, draws, step):
+        n = min(step, draws - at)
+        picks = rng.integers(0, np.broadcast_to(bounds, (n, len(bounds))))
+        total = np.zeros(n)
+        for values, a, b in zip(own, edges[:-1], edges[1:], strict=True):
+            total += values[picks[:, a:b]].sum(axis=1)
+        out[at : at + n] = total / len(delta)
+    return out
 
 
-def bootstrap(deltas: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
-    """treatment, metric, delta, ci_low, ci_high, probability_positive, bootstrap_samples, seed.
+def bootstrap(deltas: DataFrame, draws: int = DRAWS, seed: int = SEED, baseline: str = "bm25") -> DataFrame:
+    """baseline, treatment, metric, delta, ci_low, ci_high, probability_positive, bootstrap_samples, seed, stratified_by.
 
     deltas is (treatment, metric, qid, template, delta). A comparison is one group: its
     size is the number of queries, which is small beside the corpus.
@@ -33,21 +46,46 @@ def bootstrap(deltas: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFr
         pdf = pdf.assign(n=pdf["qid"].astype("int64")).sort_values("n", kind="stable")
         means = resampled_means(pdf["delta"].to_numpy(), pdf["template"].to_numpy(), draws, seed)
         low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame([(pdf["treatment"].iloc[0], pdf["metric"].iloc[0], pdf["delta"].mean(), low, high, float((means > 0).mean()), draws, seed)])
+        return pd.DataFrame([(baseline, pdf["treatment"].iloc[0], pdf["metric"].iloc[0], pdf["delta"].mean(), low, high, float((means > 0).mean()), draws, seed, "template")])
 
-    schema = "treatment string, metric string, delta double, ci_low double, ci_high double, probability_positive double, bootstrap_samples long, seed long"
+    schema = "baseline string, treatment string, metric string, delta double, ci_low double, ci_high double, probability_positive double, bootstrap_samples long, seed long, stratified_by string"
     return deltas.groupBy("treatment", "metric").applyInPandas(run, schema)
 
 
-def bootstrap_native(deltas: DataFrame, draws: int) -> DataFrame:
-    """The same estimator with picks from md5(draw:stratum:place): DataFrame functions only, checkable in SQL."""
-    place = F.row_number().over(Window.partitionBy("treatment", "metric", "template").orderBy(F.col("qid").cast("long")))
-    size = F.count("*").over(Window.partitionBy("treatment", "metric", "template"))
-    rows = deltas.withColumn("place", place - 1).withColumn("size", size)
-    picks = rows.select("treatment", "metric", "template", "place", "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    code = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", "template", "place")), 1, 8), 16, 10).cast("long")
-    picks = picks.select("treatment", "metric", "template", "draw", (code % F.col("size")).alias("place"))
-    drawn = picks.join(rows.select("treatment", "metric", "template", "place", "delta"), ["treatment", "metric", "template", "place"])
-    means = drawn.groupBy("treatment", "metric", "draw").agg(F.avg("delta").alias("mean"))
-    out = means.groupBy("treatment", "metric").agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"), F.avg((F.col("mean") > 0).cast("double")).alias("probability_positive"))
-    return deltas.groupBy("treatment", "metric").agg(F.avg("delta").alias("delta")).join(out, ["treatment", "metric"])
+def model_bootstraps(metrics: DataFrame, pairs: list[tuple[str, str]], names: tuple[str, ...], draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """The bootstraps of each (baseline, treatment) pair of methods."""
+    from .metrics import paired_deltas
+
+    out = None
+    for baseline, treatment in pairs:
+        one = bootstrap(paired_deltas(metrics.where(F.col("method").isin(baseline, treatment)), baseline, names), draws, seed, baseline)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def check_intervals(stored: DataFrame, deltas: DataFrame, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+    """treatment, metric, column of every stored value that a new bootstrap of the deltas does not give."""
+    from .report import result_diff
+
+    keys = ["treatment", "metric"]
+    values = ["delta", "ci_low", "ci_high", "probability_positive"]
+    return result_diff(stored.select(*keys, *values), bootstrap(deltas, draws, seed).select(*keys, *values), keys)
+
+
+def bootstrap_native(deltas: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """The same estimator with picks from md5(draw:stratum:place): DataFrame functions only, checkable in SQL.
+
+    The deltas of a stratum are one array, and the picks of a draw in a stratum are one
+    array for all comparisons, so a row is a comparison, a stratum and a draw.
+    """
+    keys = ["treatment", "metric"]
+    size = F.count("*").over(Window.partitionBy(*keys, "template"))
+    sized = deltas.withColumn("size", size)
+    held = sized.groupBy(*keys, "template", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("qid").cast("long").alias("q"), "delta"))).alias("x")).select(*keys, "template", "size", F.col("x.delta").alias("x"))
+    code = lambda place: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), "template", place.cast("string"))), 1, 8), 16, 10).cast("long")
+    picks = held.select("template", "size").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = picks.withColumn("picks", F.transform(F.sequence(F.lit(0), (F.col("size") - 1).cast("int")), lambda i: (code(i) % F.col("size")).cast("int")))
+    drawn = picks.join(held, ["template", "size"]).select(*keys, "draw", "size", F.aggregate("picks", F.lit(0.0), lambda a, i: a + F.get("x", i)).alias("total"))
+    means = drawn.groupBy(*keys, "draw").agg((F.sum("total") / F.sum("size")).alias("mean"))
+    out = means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"), F.avg((F.col("mean") > 0).cast("double")).alias("probability_positive"))
+    return deltas.groupBy(*keys).agg(F.avg("delta").alias("delta")).join(out, keys)

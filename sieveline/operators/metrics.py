@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import gold_size_bin
+from ..plans.templates import templates
 
 METRICS = ("recall_at_5", "recall_at_20", "recall_at_100", "norm_recall_at_100", "ndcg_at_5", "ndcg_at_20", "ndcg_at_100", "candidate_precision", "candidate_recall", "candidate_f1", "candidate_jaccard")
 SIZES = ("retrieved_size", "candidate_size")
@@ -28,13 +29,28 @@ def described(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.select("qid", "template", F.size("attrs").alias("n_atoms")).join(gold, "qid").withColumn("gold_size_bin", gold_size_bin("gold_size"))
 
 
-def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFrame:
+def distinct_rankings(results: DataFrame) -> DataFrame:
+    """method, qid, ordinal, rank: each document once, at its first rank, ranks renumbered; null ranks stay null."""
+    first = results.groupBy("method", "qid", "ordinal").agg(F.min("rank").alias("first"))
+    place = F.row_number().over(Window.partitionBy("method", "qid").orderBy(F.col("first").asc_nulls_last(), "ordinal"))
+    return first.withColumn("place", place).select("method", "qid", "ordinal", F.when(F.col("first").isNotNull(), F.col("place")).alias("rank"))
+
+
+def outside(results: DataFrame, candidates: DataFrame) -> DataFrame:
+    """method, qid, ordinal of ranked documents that are no candidates of their query."""
+    return results.where("rank is not null").select("method", "qid", "ordinal").join(candidates.select("qid", "ordinal"), ["qid", "ordinal"], "left_anti").select("method", "qid", "ordinal")
+
+
+def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """KEYS, METRICS and SIZES of every method and query; results is (method, qid, ordinal, rank).
 
-    Driven by all queries, so a query for which a method finds nothing has zeros.
+    Driven by all queries, so a query for which a method finds nothing has zeros. A
+    document that a ranking repeats counts at its first rank. candidates: (qid, ordinal)
+    that all methods chose from, if the rows of results are not all their candidates; a
+    ranked document outside them is an error.
     """
     base = results.select("method").distinct().crossJoin(F.broadcast(described(queries, qrels)))
-    marked = results.join(qrels.select("qid", "ordinal", F.lit(True).alias("hit")), ["qid", "ordinal"], "left")
+    marked = distinct_rankings(results).join(qrels.select("qid", "ordinal", F.lit(True).alias("hit")).distinct(), ["qid", "ordinal"], "left")
     hit, rank = F.coalesce("hit", F.lit(False)), F.col("rank")
     gain = F.when(hit & rank.isNotNull(), 1 / F.log2(rank + 1))
     sums = marked.groupBy("method", "qid").agg(
@@ -42,6 +58,11 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFr
         *(F.aggregate(F.array_sort(F.collect_list(F.when(rank <= k, F.struct(rank.alias("r"), gain.alias("g"))))), F.lit(0.0), lambda a, z: a + F.coalesce(z["g"], F.lit(0.0))).alias(f"dcg_{k}") for k in (5, 20, 100)),
         F.count_if(hit).alias("found"), F.count("*").alias("candidate_size"), F.count("rank").alias("retrieved_size"),
     )
+    if candidates is not None:
+        if not outside(results, candidates).isEmpty():
+            raise ValueError("a ranking has documents outside the candidates")
+        whole = candidates.select("qid", "ordinal").distinct().join(qrels.select("qid", "ordinal", F.lit(1).alias("gold")).distinct(), ["qid", "ordinal"], "left")
+        sums = sums.drop("found", "candidate_size").join(whole.groupBy("qid").agg(F.count("gold").alias("found"), F.count("*").alias("candidate_size")), "qid")
     rows = base.join(sums, ["method", "qid"], "left").na.fill(0)
     gold, found, size = F.col("gold_size"), F.col("found"), F.col("candidate_size")
     precision, recall = _ratio(found, size), found / gold
@@ -55,6 +76,22 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame) -> DataFr
     )
 
 
+def budgets(metrics: DataFrame, pool_k: int, final_k: int) -> DataFrame:
+    """method, qid and what the method was given: its depth and cutoff, its pool, its lists, and their nominal sizes; null where it has none."""
+    depth = F.expr("try_cast(nullif(regexp_extract(method, '_L([0-9]+)$', 1), '') as int)")
+    family = F.regexp_replace("method", "_L[0-9]+$", "")
+    rows = metrics.select("method", "qid", "template", "n_atoms").join(F.broadcast(templates(metrics.sparkSession).select("template", "has_negative")), "template")
+    rows = rows.withColumn("family", family).withColumn("atomic_depth", depth)
+    composed, hybrid = F.col("family").isin("compose_exact_not", "compose_truncated_not", "union_verify"), F.col("family") == "hybrid_verify"
+    positive = F.col("n_atoms") - F.col("has_negative").cast("int")
+    pooled = F.col("family").isin("full_verify", "hybrid_verify")
+    return rows.select(
+        "method", "qid", "atomic_depth", F.lit(final_k).alias("final_k"), F.when(F.col("family") == "bm25", F.lit(pool_k)).alias("pool_k"), F.when(pooled, F.lit(pool_k)).alias("full_query_pool"),
+        F.when(composed, F.col("n_atoms")).when(hybrid, positive).alias("atomic_lists"), F.when(composed, F.col("n_atoms") * F.col("atomic_depth")).alias("nominal_atomic_budget"),
+        F.when(F.col("family") == "full_verify", F.lit(pool_k)).when(hybrid, F.lit(pool_k) + positive * F.col("atomic_depth")).alias("nominal_candidate_budget"),
+    )
+
+
 def summarise(metrics: DataFrame) -> DataFrame:
     """Means over queries: overall, by template and by gold size, in one pass of grouping sets."""
     sets = [["method"], ["method", "template"], ["method", "gold_size_bin"]]

@@ -7,25 +7,21 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rerank_prompt
 
 INSTRUCTION = "Decide whether the document answers the query."
+CHECKPOINT = "qid string, ordinal long, source_rank int, score double, protocol string, seconds double"
 
 
-def lexical_scorer() -> Callable[[pd.Series, pd.Series], pd.Series]:
-    """Share of the query's lower-cased words that the document has. Stands in for a neural model."""
-
-    def score(queries: pd.Series, documents: pd.Series) -> pd.Series:
-        out = []
-        for q, d in zip(queries, documents, strict=True):
-            words, have = set(q.lower().split()), set(d.lower().replace(",", " ").replace(".", " ").split())
-            out.append(len(words & have) / max(len(words), 1))
-        return pd.Series(out, dtype="float64")
-
-    return score
+def lexical_score(query: Column | str, document: Column | str) -> Column:
+    """Share of the query's distinct lower-cased words that the document has, commas and periods aside. Stands in for a neural model."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    words, have = split(col(query)), split(F.translate(col(document), ",.", "  "))
+    return F.size(F.array_intersect(words, have)) / F.greatest(F.size(words), F.lit(1))
 
 
 def pairs(pool: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -39,16 +35,45 @@ def protocol_fingerprint(**contract: object) -> str:
     return hashlib.sha256(json.dumps({"instruction": INSTRUCTION, **contract}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Callable[[], Callable] = lexical_scorer) -> DataFrame:
-    """qid, ordinal, source_rank, score, rank; the scorer is made once for each worker task."""
+def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]] | None = None) -> DataFrame:
+    """qid, ordinal, source_rank, score, rank. scorer makes a function of two series of texts, once for each worker task; by default the lexical score."""
+    rows = pairs(pool, queries, corpus)
+    if scorer is None:
+        return order(rows.select("qid", "ordinal", "source_rank", lexical_score("query", "document").alias("score")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
         for pdf in batches:
             yield pdf[["qid", "ordinal", "source_rank"]].assign(score=score(pdf["query"], pdf["document"]).to_numpy())
 
-    scored = pairs(pool, queries, corpus).select("qid", "ordinal", "source_rank", "query", "document").mapInPandas(run, "qid string, ordinal long, source_rank int, score double")
-    return order(scored)
+    return order(rows.select("qid", "ordinal", "source_rank", "query", "document").mapInPandas(run, "qid string, ordinal long, source_rank int, score double"))
+
+
+def resumed(pool: DataFrame, queries: DataFrame, corpus: DataFrame, path: str, protocol: str, scorer: Callable | None = None, seconds: Callable[[], float] | None = None) -> DataFrame:
+    """rerank that keeps each query's scores at path and scores only the queries without them.
+
+    A checkpoint is a partition of one query, which Spark's committer writes whole or
+    not at all. One that another pool or protocol made is an error: the caller chooses
+    another path or removes it.
+    """
+    spark = pool.sparkSession
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
+    done = spark.read.schema(CHECKPOINT).parquet(path) if there else spark.createDataFrame([], CHECKPOINT)
+    if not incompatible(pool, done, protocol).isEmpty():
+        raise ValueError(f"{path} holds checkpoints of another pool or protocol")
+    open_ = pool.join(done.select("qid").distinct(), "qid", "left_anti")
+    if not open_.isEmpty():
+        began = seconds() if seconds else 0.0
+        found = rerank(open_, queries, corpus, scorer).withColumn("protocol", F.lit(protocol)).withColumn("seconds", F.lit(float(began)))
+        found.select("qid", "ordinal", "source_rank", "score", "protocol", "seconds").write.mode("append").partitionBy("qid").parquet(path)
+    return order(spark.read.schema(CHECKPOINT).parquet(path).join(pool.select("qid").distinct(), "qid", "left_semi").select("qid", "ordinal", "source_rank", "score"))
+
+
+def throughput(pairs_scored: int, seconds: float, queries: int, pool_k: int) -> dict[str, float | None]:
+    """Pairs a second and the hours that all queries would take; none of both where no time passed."""
+    rate = pairs_scored / seconds if seconds else None
+    return {"pairs_per_second": rate, "projected_hours": queries * pool_k / rate / 3600 if rate else None}
 
 
 def order(scored: DataFrame) -> DataFrame:
@@ -61,11 +86,12 @@ def pending(pool: DataFrame, done: DataFrame) -> DataFrame:
     return pool.select("qid").distinct().join(incompatible(pool, done).unionByName(pool.select("qid").distinct().join(done.select("qid").distinct(), "qid", "left_anti")), "qid", "left_semi")
 
 
-def incompatible(pool: DataFrame, done: DataFrame) -> DataFrame:
-    """qids whose checkpoint is not a finite scoring of exactly the present pool, in its order."""
-    here = pool.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "ordinal"))).alias("pool"))
-    there = done.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("source_rank").alias("rank"), "ordinal"))).alias("seen"), F.bool_and(~F.isnan("score") & (F.abs("score") < float("inf")) & F.col("score").isNotNull()).alias("finite"))
-    return here.join(there, "qid").where(~F.col("finite") | (F.col("pool") != F.col("seen"))).select("qid")
+def incompatible(pool: DataFrame, done: DataFrame, protocol: str | None = None) -> DataFrame:
+    """qids whose checkpoint is not a finite scoring of exactly the present pool, in its order, under the present protocol."""
+    here = pool.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "ordinal"))).alias("pool"))
+    other = ~F.coalesce(F.bool_and(F.col("protocol") == protocol), F.lit(False)) if protocol is not None else F.lit(False)
+    there = done.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.col("source_rank").cast("int").alias("rank"), "ordinal"))).alias("seen"), F.bool_and(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))).alias("finite"), other.alias("other"))
+    return here.join(there, "qid").where(F.col("other") | ~F.col("finite") | (F.col("pool") != F.col("seen"))).select("qid")
 
 
 def pool_fingerprint(pool: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import likes
 from ..operators import boolean
 from ..plans import templates
+from .ordinals import with_ordinals
 
 CORPUS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("text", T.StringType())])
 QUERIES = T.StructType([
@@ -43,16 +44,6 @@ def checksum_violations(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where(~F.col("sha256").eqNullSafe(F.col("want"))).select("file", F.when(F.col("sha256").isNull(), "missing").otherwise("mismatch").alias("rule"))
 
 
-def with_ordinals(docs: DataFrame, key: str) -> DataFrame:
-    """Corpus order by a key column, numbered from 0: counts per range of the key first, so no task sees all rows."""
-    ranged = docs.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    offsets = sizes.select("_part", before.alias("_before"))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn("ordinal", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
-
-
 def facts(corpus: DataFrame) -> DataFrame:
     """ordinal, attr that the texts state."""
     return corpus.select("ordinal", F.explode(likes("text")).alias("attr"))
@@ -71,6 +62,51 @@ def corpus_violations(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", rules.alias("rules")).select("doc_id", F.explode("rules").alias("rule"))
 
 
+def raw_query_violations(raw: DataFrame) -> DataFrame:
+    """id, rule of rows as read: no text, documents that are no list of ids, a document twice, a wrong count, no plan."""
+    docs, attrs = F.col("docs"), F.col("metadata.attrs")
+    blank = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
+    rules = F.array_compact(F.array(
+        F.when(blank("query"), F.lit("no_text")), F.when(docs.isNull() | F.exists(docs, lambda d: d.isNull()), F.lit("invalid_docs")),
+        F.when(F.size(docs) > F.size(F.array_distinct(docs)), F.lit("duplicate_gold")), F.when(~F.col("num_docs").eqNullSafe(F.when(docs.isNotNull(), F.size(docs).cast("long"))), F.lit("wrong_num_docs")),
+        F.when(F.col("metadata.template").isNull() | attrs.isNull(), F.lit("no_plan")), F.when(F.exists(attrs, blank), F.lit("empty_attribute")),
+    ))
+    return raw.select("id", F.explode(rules).alias("rule"))
+
+
+def id_violations(ids: DataFrame, n: int) -> DataFrame:
+    """qid, rule: ids that are not exactly 0 to n - 1, each once."""
+    found = ids.groupBy("qid").agg(F.count("*").alias("k"))
+    number = F.expr("try_cast(qid as bigint)")
+    fine = number.isNotNull() & (number.cast("string") == F.col("qid")) & number.between(0, n - 1)
+    rules = F.explode(F.array_compact(F.array(F.when(F.col("k") > 1, F.lit("duplicate_qid")), F.when(~fine, F.lit("qid_out_of_range")))))
+    missing = ids.sparkSession.range(n).select(F.col("id").cast("string").alias("qid")).join(found, "qid", "left_anti")
+    return found.select("qid", rules.alias("rule")).unionByName(missing.withColumn("rule", F.lit("missing_qid")))
+
+
+def unknown_references(queries: DataFrame, gold: DataFrame, corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """qid, kind, name: gold documents (qid, doc_id) that the corpus does not have, attributes that no document states."""
+    docs = gold.join(corpus.select("doc_id"), "doc_id", "left_anti").select("qid", F.lit("document").alias("kind"), F.col("doc_id").alias("name"))
+    attrs = queries.select("qid", F.explode("attrs").alias("attr")).distinct().join(found.select("attr").distinct(), "attr", "left_anti")
+    return docs.unionByName(attrs.select("qid", F.lit("attribute").alias("kind"), F.col("attr").alias("name")))
+
+
+def run_violations(run: DataFrame, n: int, prefix: int) -> DataFrame:
+    """qid, rule of a run (qid, ranking): ids not 0 to n - 1, a ranking too short, or an empty or repeated id in its first places."""
+    head = F.slice("ranking", 1, prefix)
+    rules = F.array_compact(F.array(
+        F.when(F.coalesce(F.size(head), F.lit(0)) < prefix, F.lit("too_short")), F.when(F.exists(head, lambda d: F.coalesce(F.length(d), F.lit(0)) == 0), F.lit("empty_id")),
+        F.when(F.size(head) > F.size(F.array_distinct(head)), F.lit("duplicate_document")),
+    ))
+    return run.select("qid", F.explode(rules).alias("rule")).unionByName(id_violations(run.select("qid"), n))
+
+
+def template_counts(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """template, n_queries, gold_total."""
+    gold = qrels.groupBy("qid").agg(F.count_distinct("ordinal").alias("gold"))
+    return queries.select("qid", "template").join(gold, "qid", "left").groupBy("template").agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("gold"), F.lit(0)).alias("gold_total"))
+
+
 def query_violations(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """qid, rule: repeated qid, no gold, repeated gold, a text that is not the plan's rendering."""
     n = F.count("*").over(Window.partitionBy("qid"))

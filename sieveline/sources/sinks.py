@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -16,12 +19,43 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
-def write_run(rankings: DataFrame, path: str) -> None:
-    """Compressed JSON lines: qid, ranking, scores."""
-    by = rankings.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("r"))
-    by.select("qid", F.col("r.doc_id").alias("ranking"), F.col("r.score").alias("scores")).write.mode("overwrite").option("compression", "gzip").json(path)
+def write_run(rankings: DataFrame, path: str, keys: tuple[str, ...] = ("qid",)) -> None:
+    """Compressed JSON lines: keys, ranking, scores if there are any."""
+    scored = "score" in rankings.columns
+    item = F.struct("rank", "doc_id", *(["score"] if scored else []))
+    by = rankings.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("r"))
+    scores = [F.col("r.score").alias("scores")] if scored else []
+    by.select(*keys, F.col("r.doc_id").alias("ranking"), *scores).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def write_json(row: dict, path: str) -> None:
-    """One object, sorted keys, two-space indent."""
-    Path(path).write_text(json.dumps(row, indent=2, sort_keys=True, default=str) + "\n", encoding="utf-8")
+    """One object, sorted keys, two-space indent, a newline at the end."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(row, indent=2, sort_keys=True, default=str, ensure_ascii=False) + "\n", encoding="utf-8")
+
+
+def pool_lines(pool: DataFrame, document: str = "doc_id") -> Iterator[bytes]:
+    """The pool (qid, rank, document) as compact JSON lines in the order of the number that qid is; one partition at a time reaches the driver."""
+    ranked = pool.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(document).cast("string").alias("d")))).alias("r"))
+    for row in ranked.select("qid", F.col("r.d").alias("ranking")).orderBy(F.col("qid").cast("long"), "qid").toLocalIterator():
+        yield (json.dumps({"qid": row.qid, "ranking": row.ranking}, ensure_ascii=False, separators=(",", ":"), sort_keys=True) + "\n").encode()
+
+
+def pool_digest(pool: DataFrame, document: str = "doc_id") -> str:
+    """SHA-256 of all lines of a pool."""
+    digest = hashlib.sha256()
+    for line in pool_lines(pool, document):
+        digest.update(line)
+    return digest.hexdigest()
+
+
+def export_pool(pool: DataFrame, path: str, document: str = "doc_id") -> dict[str, object]:
+    """Write the canonical pool, compressed so that equal pools give equal files; counts and both digests."""
+    digest, queries, ids = hashlib.sha256(), 0, 0
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "wb") as raw, gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) as out:
+        for line in pool_lines(pool, document):
+            digest.update(line)
+            out.write(line)
+            queries, ids = queries + 1, ids + len(json.loads(line)["ranking"])
+    return {"artifact": path, "queries": queries, "candidate_ids": ids, "uncompressed_sha256": digest.hexdigest(), "compressed_sha256": hashlib.sha256(Path(path).read_bytes()).hexdigest()}

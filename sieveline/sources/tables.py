@@ -14,10 +14,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that all executors share; a temporary one only where there is one machine and the session names none, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -31,19 +33,41 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back: lost executors cost no recomputation, plans stay short.
+
+    files: at most so many, where the rows are known to be few; small tables in hundreds
+    of files cost more to write and list than to compute.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shared-{uuid.uuid4().hex}"
+    df = df.coalesce(files) if files else df
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables are written now; see only_last."""
+    return len(_written)
+
+
+def only_last(since: int) -> None:
+    """Delete the tables written after mark() gave ``since``, but for the last, which was made from them."""
+    for spark, path in _written[since:-1]:
+        _delete(spark, path)
+    del _written[since:-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended; its folder goes with the cluster's job
             return

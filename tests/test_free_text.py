@@ -20,5 +20,5 @@ def test_terms_after_the_twelfth_count(spark, tmp_path):
     mean = sum(map(lambda t: t.total(), tf)) / len(tf)
     score = [sum(idf[w] * t[w] * 2.5 / (t[w] + 1.5 * (0.25 + 0.75 * t.total() / mean)) for w in asked.split() if w in t) for t in tf]
     want = [(str(7), d, round(score[d], 6), k + 1) for k, d in enumerate(sorted(range(len(texts)), key=lambda d: (-round(score[d], 9), d)))]
-    got = catalog.queries()["free_text_topk_whole"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["free_text_topk"](spark, str(tmp_path)).collect()
     assert sorted(((r.qid, r.ordinal, round(r.score, 6), r.rank) for r in got), key=lambda r: r[3]) == want
