@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import ship
+from ..sources.tables import written as cut
+
+__all__ = ["WORD", "cut", "distinct_texts", "documents", "fold", "met", "prepare", "table"]
 WORD = r"[^\x20\x09-\x0D]+"
-_written: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
     """Let workers find this package, and keep Arrow batches small: one batch of long texts must not fill a worker."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -30,41 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Write the rows to the shared folder and read them back: lost executors cost no recomputation, plans stay short.
-
-    files: at most so many, where the rows are known to be few; small tables in hundreds
-    of files cost more to write and list than to compute.
-    """
-    spark = df.sparkSession
-    df = df.coalesce(files) if files else df
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended; its folder goes with the cluster's job
-            return
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; a null doc_id counts as empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts).cast("int")

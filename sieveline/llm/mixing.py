@@ -28,7 +28,11 @@ SOURCES = 100_000
 
 
 def targets(sized: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
-    """source, source_size, target of the sources of (source, size); one row a source, null included."""
+    """source, source_size, target of the sources of (source, size); one row a source, null included.
+
+    The sources are ordered in one task, by code point and by size per weight: a row of
+    four numbers and a name each, made for millions of sources, not for one a document.
+    """
     by = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by) - 1) % len(weights) + 1).cast("int")).cast("double")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("w", w).withColumn("cap", F.col("source_size") * float(epochs))

@@ -204,10 +204,12 @@ def _tested(likely: DataFrame, texts: DataFrame, reps: DataFrame, files: int | N
     files = 1 + likely.count() // PAIR_ROWS
     needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
     sets = cut(_texts(texts, reps, needed, files).mapInArrow(_sets, "node long, packed binary"))
-    # the set of a goes once to every chunk of its partners, whose sets follow it
+    # the set of a goes once to every chunk of its partners, whose sets follow it; few sets have more than a chunk
     chunks = likely.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("chunks"))
+    many = cut(chunks.where("chunks > 1"), 1)
+    many = F.broadcast(many) if many.count() <= BROADCAST_IDS else many
     heads = chunks.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>")).alias("chunk")).join(sets.withColumnRenamed("node", "a"), "a")
-    partners = likely.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk")).join(sets.withColumnRenamed("node", "b"), "b")
+    partners = likely.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk")).join(sets.withColumnRenamed("node", "b"), "b")
     rows = heads.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()).select("a", "b", "packed")
     return cut(rows.mapInArrow(_confirm, "a long, b long, both long, linked boolean, more_a array<long>, more_b array<long>"), files)
 
