@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import language_id, mixing, near_dedup, packing, substring_dedup
 from sieveline.llm.common import cut, prepare, table
+from sieveline.sources.tables import mark, only_last
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,9 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
+            # what a stage wrote on its way, and its input, are no longer needed
             docs = cut(docs)
+            only_last(since)
     return docs
