@@ -272,8 +272,8 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCA
     best = kth = visited = None
     for batch in BATCHES:
         known = asked.join(kth, "query", "left") if kth is not None else asked.withColumn("kth", F.lit(None).cast("long"))
-        # one shard a length needs no routing
-        if shards == 1:
+        # a single shard needs no routing
+        if shards <= 1:
             routed = asked.select("query", "dim").join(trees.select(*KEY), "dim").select("query", F.lit(0.0).alias("bound"), *KEY)
         open_ = known.select("query", "e", F.col("dim").alias("q_dim"), F.col("kth").cast("double").alias("floor"), F.pmod(F.xxhash64("query"), F.lit(chunks)).alias("q_chunk"), here(groups).alias("q_group"))
         after = batch + sum(b or 0 for b in BATCHES[: BATCHES.index(batch)]) if batch else None
