@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveline.llm import components, kernels as K, packing, substring_dedup
+from sieveline.llm import components, kernels as K, substring_dedup
 from sieveline.llm.quality_rules import statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,27 +64,6 @@ def test_joined_links(pairs):
     assert dict(zip(node.tolist(), label.tolist())) == want
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=12))
-def test_sweeps_place_every_piece_once(counts):
-    plan = packing.sweeps(counts, 64)
-    used, ranks = {}, {}
-    for length, low, high, first, each, base in plan:
-        for k in range(high - low):
-            ranks.setdefault(length, []).append(low + k)
-            used.setdefault(first + k // each, []).append((base + k % each * length, length))
-    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
-    for places in used.values():
-        at = 0
-        for offset, length in sorted(places):
-            assert offset == at
-            at += length
-        assert at <= 64
-    total = sum(n * c for n, c in counts.items())
-    if total:
-        assert len(used) <= 11 / 9 * -(-total // 64) + 12
-
-
 def test_statistics_of_odd_texts():
     got = statistics(pa.array(["", None, "x\n\nx\n y\n y\nx ", "a b c a b c", "#* é|"]))
     assert got[:, :5].tolist() == [[0] * 5, [0] * 5, [5, 5, 0, 2, 0], [6, 6, 0, 0, 6], [2, 4, 3, 0, 0]]
