@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, class_lm, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, topk, toxicity
+from . import centroids, class_lm, decontamination, language_id, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, topk, toxicity
 from .common import table
 
 
@@ -46,15 +46,20 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_centroid_clustering(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op6_quality_rules, op7_exact_top_k, op8_quality_classifier, op9_language_id, op10_class_lm, op12_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op3_best_fit_packing, op4_substring_dedup, op5_source_mixing, op6_quality_rules, op7_exact_top_k, op8_quality_classifier, op9_language_id, op10_class_lm, op11_decontamination, op12_centroid_clustering)}
 ORACLES = {
     "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
     "op12_centroid_clustering": centroids.ORACLE,
 }
