@@ -20,6 +20,7 @@ pieces left from before stay in. A superstep places a piece at least.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,8 @@ from . import kernels as K
 from .common import cut, documents, prepare
 
 SEQUENCE, END = 2048, 0
+#: Characters of white space in a row from which the fast encoder could run out of stack.
+RUN, SPACE = 100_000, re.compile(r"\s+")
 #: Supersteps before shorter pieces join, and by how much the shortest length falls then.
 STEPS, BAND = 2, 4
 #: Rows of a range, as long as there are no more than PARTS ranges.
@@ -46,7 +49,7 @@ SWEPT = ["part", "kind", "pid", "length", "gap", "slot", "rank"]
 
 @lru_cache(maxsize=2)
 def _tokenizer(json_path: str, ranks_path: str):
-    """The ids of a text: those of the tokenizers file, by its ranks where no special token's string is in the text."""
+    """The ids of a text: those of the tokenizers file, by its ranks where the text has neither a special token's string nor a very long run of white space."""
     exact = tokenizers.Tokenizer.from_file(json_path)
     special = [t.content for t in exact.get_added_tokens_decoder().values()]
     with open(ranks_path, "rb") as lines:
@@ -54,7 +57,7 @@ def _tokenizer(json_path: str, ranks_path: str):
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= RUN and any(m.end() - m.start() >= RUN for m in SPACE.finditer(text))):
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

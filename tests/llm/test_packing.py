@@ -88,3 +88,28 @@ def test_ranges_do_not_change_the_places_and_few_sequences_are_made(spark, monke
 def test_small_tables(spark, lengths):
     made = check_whole(placed(spark, lengths, 64), lengths, 64)
     assert made <= best_fit_decreasing(lengths, 64)
+
+
+@pytest.mark.parametrize("unit", ["\n", " ", "\t", "\x0b", "\x0c", "\r", "\u3000", "\xa0", "x", "\n ", "é", "7", "-"])
+def test_long_runs_have_the_ids_of_the_named_tokenizer(unit):
+    import public_tokenizers
+    import tokenizers
+
+    exact = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing._tokenizer(*packing_paths())
+    for n in (packing.RUN - 1, packing.RUN, 2_000_000):
+        text = "a" + unit * (n // len(unit)) + "b"
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
+def packing_paths():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_long_runs_pack(spark):
+    texts = ["a" + c * 2_000_000 + "b" for c in "\n \t\x0b\x0c\rx"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == set(range(len(texts)))
+    assert all(r.length <= packing.SEQUENCE for r in rows)
