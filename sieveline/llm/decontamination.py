@@ -67,14 +67,11 @@ def window_shingles(windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def places(docs: DataFrame, wide: list[int]) -> DataFrame:
     """(doc_id, tid, w, pos, key): a row for every shingle of every document, in each of the widths; w is the document's words."""
-    most = max(wide, default=1)
-    w = docs.select(*DOC, words(F.col("text")).alias("w"))
-    beside = w.select("*", *(F.slice("w", i + 1, F.size("w")).alias(f"w{i}") for i in range(1, most)))
-    zipped = beside.select(*DOC, "w", F.arrays_zip("w", *(f"w{i}" for i in range(1, most))).alias("z"))
-    at = zipped.select(*DOC, "w", F.posexplode("z").alias("pos", "z"))
-    part = lambda i: F.col("z.w" if i == 0 else f"z.w{i}")
-    keys = [F.when(F.col("pos") + s <= F.size("w"), _key([part(i) for i in range(s)])) for s in wide]
-    out = at.select(*DOC, "w", "pos", (keys[0] if len(keys) == 1 else F.explode(F.array(*keys))).alias("key")) if keys else at.select(*DOC, "w", "pos", F.lit(None).cast("long").alias("key"))
+    at = docs.select(*DOC, words(F.col("text")).alias("w")).select(*DOC, "w", F.posexplode_outer("w").alias("pos", "word"))
+    # words by their place in the array, which the generated code does not copy for its rows; the outer form, or Spark would split each text twice to drop those without words
+    keys = [F.when(F.col("pos") + s <= F.size("w"), _key([F.get("w", F.col("pos") + i) for i in range(s)])) for s in wide]
+    key = keys[0] if len(keys) == 1 else F.explode(F.array(*keys) if keys else F.array().cast("array<long>"))
+    out = at.select(*DOC, "w", "pos", key.alias("key"))
     return out.where("key is not null")
 
 
