@@ -1,12 +1,18 @@
 """BM25 over a corpus (ordinal, text): index tables, scores and top-k with corpus-order ties.
 
 ``scores`` scores every document that has a query term. ``search`` finds the same
-top-k without that: documents with a rare term of the query are scored on their rare
-terms first; the common terms, which most documents have, can add no more than the
-sum of their highest impacts. Where that cannot lift a document without a rare term to
-the kth score, only the rare ones that can still reach it are looked at. Otherwise the
-ranking by common terms alone, which is one for all queries with the same common
-terms, adds its first documents. The candidates are then scored in full.
+top-k from bounds:
+
+* terms that most documents have (``DENSE``) are kept by blocks, which are documents of
+  about one length in one range of the corpus, with the highest and the lowest impact
+  of the term in the block. Their sum bounds the dense part of a document's score from
+  both sides, without looking at the document. Queries with the same dense terms share it;
+* the blocks' lower bounds, and the partial scores of documents with the rarest terms of
+  the query, give a first threshold: k documents reach it;
+* other terms are asked from the rarest on, until the terms left cannot lift a document
+  without the others to the threshold. Documents met are kept while their partial score
+  and the bounds of their block reach it, which the partial scores have raised by then;
+* blocks whose bound reaches it are opened. What is kept is scored in full.
 
 Zero scores are kept implicit: a query that has fewer than k scored documents is
 filled from the first other documents in corpus order, which is where zero scores
@@ -25,8 +31,12 @@ from ..sources.ordinals import with_ordinals
 from ..sources.tables import written
 
 TIE_BREAKS = ("corpus_ordinal",)
-#: A term is common if more than one document in so many has it; places looked at beyond the needed ones; allowance for rounding.
-COMMON, SPARE, SLACK = 50, 64, 1e-6
+#: A term is dense if more than one document in so many has it; documents a range of the corpus, and ranges at most.
+DENSE, RANGE, RANGES = 2, 512, 128
+#: Lengths below FINE are a class each, longer ones by steps of this ratio.
+FINE, RATIO = 64, 1.05
+#: Postings of a query's rarest terms that the first threshold is taken from, for each place asked; allowances for rounding, in sums and to 9 decimals.
+SEED, SLACK, SAME, GRAIN = 4, 1e-6, 1e-12, 2e-9
 
 
 def ordered_sum(pos: str, value: Column) -> Column:
@@ -39,8 +49,10 @@ def ordered_sum(pos: str, value: Column) -> Column:
 class Index:
     tf: DataFrame  # ordinal, dl, term, tf
     idf: DataFrame  # term, df, raw_idf, idf, most: the highest impact of the term
-    stats: DataFrame  # n_docs, avgdl, average_idf, vocabulary: one row
+    stats: DataFrame  # n_docs, avgdl, average_idf, vocabulary, first, width: one row; the last two make ranges of the corpus
     docs: DataFrame  # ordinal, dl
+    tops: DataFrame  # term, block, n, most, least of dense terms
+    blocks: DataFrame  # block, size, low, high: documents and their first and last ordinal
     k1: float
     b: float
 
@@ -49,8 +61,18 @@ class Index:
         return (F.col("tf") * (self.k1 + 1)) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
 
     def postings(self) -> DataFrame:
-        """tf with avgdl."""
-        return self.tf.crossJoin(F.broadcast(self.stats.select("avgdl")))
+        """tf with avgdl, and first and width of stats."""
+        return self.tf.crossJoin(F.broadcast(self.stats.select("avgdl", "first", "width")))
+
+    def placed(self) -> DataFrame:
+        """ordinal, block."""
+        return self.docs.crossJoin(F.broadcast(self.stats.select("first", "width"))).select("ordinal", block().alias("block"))
+
+
+def block() -> Column:
+    """The block of a document, from its dl and ordinal and the ranges of the corpus."""
+    kind = F.when(F.col("dl") < FINE, F.col("dl")).otherwise(FINE + F.floor(F.log(F.col("dl") / FINE) / F.log(F.lit(RATIO))))
+    return (kind * RANGES + F.floor((F.col("ordinal") - F.col("first")) / F.col("width"))).cast("long")
 
 
 def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Index:
@@ -58,14 +80,29 @@ def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25, k1
     split = corpus.select("ordinal", tokens("text", tokenizer).alias("tokens")).withColumn("dl", F.size("tokens"))
     tf = written(split.select("ordinal", "dl", F.explode("tokens").alias("term")).groupBy("ordinal", "dl", "term").agg(F.count("*").alias("tf")))
     docs = written(split.select("ordinal", "dl"))
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    index = Index(tf, tf, size, docs, k1, b)
+    n_docs = docs.agg(F.count("*").alias("n_docs"))
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = index.postings().groupBy("term").agg(F.count("*").alias("df"), F.max(index.impact()).alias("most")).crossJoin(F.broadcast(size.select("n_docs"))).withColumn("raw_idf", raw)
-    df = written(df.drop("n_docs"))
-    mean = df.agg(F.avg("raw_idf").alias("average_idf"), F.count("*").alias("vocabulary"))
-    idf = df.crossJoin(F.broadcast(mean)).select("term", "df", "raw_idf", F.when(F.col("raw_idf") >= 0, F.col("raw_idf")).otherwise(epsilon * F.col("average_idf")).alias("idf"), "most")
-    return Index(tf, written(idf), written(size.crossJoin(mean)), docs, k1, b)
+    terms = written(tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("term", "df", raw.alias("raw_idf")))
+    mean = terms.agg(F.avg("raw_idf").alias("average_idf"))
+    idf = F.when(F.col("raw_idf") >= 0, F.col("raw_idf")).otherwise(epsilon * F.col("average_idf"))
+    return opened(tf, docs, terms.crossJoin(F.broadcast(mean)).select("term", "df", "raw_idf", idf.alias("idf")), k1, b)
+
+
+def opened(tf: DataFrame, docs: DataFrame, idf: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
+    """The index of postings (ordinal, dl, term, tf), documents (ordinal, dl) and terms (term, df, raw_idf, idf) that are written already: adds the bounds."""
+    size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    ranges = F.greatest(F.lit(1), F.least(F.lit(RANGES), F.floor(F.col("n_docs") / RANGE)))
+    width = F.floor((F.col("last") - F.col("first")) / ranges) + 1
+    mean = idf.agg(F.avg("raw_idf").alias("average_idf"), F.count("*").alias("vocabulary"))
+    stats = written(size.withColumn("width", width).drop("last").crossJoin(mean), 1)
+    bare = Index(tf, idf, stats, docs, idf, idf, k1, b)
+    most = bare.postings().groupBy("term").agg(F.max(bare.impact()).alias("most"))
+    full = written(idf.join(most, "term"))
+    dense = full.crossJoin(F.broadcast(stats.select("n_docs"))).where(F.col("df") * DENSE > F.col("n_docs")).select("term")
+    # there are at most DENSE times as many dense terms as a document has different terms on the mean
+    tops = bare.postings().join(F.broadcast(dense), "term").groupBy("term", block().alias("block")).agg(F.count("*").alias("n"), F.max(bare.impact()).alias("most"), F.min(bare.impact()).alias("least"))
+    blocks = docs.crossJoin(F.broadcast(stats.select("first", "width"))).groupBy(block().alias("block")).agg(F.count("*").alias("size"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
+    return Index(tf, full, stats, docs, written(tops), written(blocks), k1, b)
 
 
 def query_terms(queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
@@ -88,7 +125,7 @@ def scores(index: Index, queries: DataFrame, tokenizer: str = "regex") -> DataFr
 
 def _checked(k: int, tie_break: str) -> None:
     if tie_break not in TIE_BREAKS:
-        raise ValueError(f"Unknown tie-break mode {tie_break!r}")
+        raise ValueError(f"ties go by {' or '.join(TIE_BREAKS)}, not by {tie_break!r}")
     if k <= 0:
         raise ValueError("k must be positive")
 
@@ -133,31 +170,79 @@ def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, tie_br
     return out.withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= k)
 
 
+def _kth(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """qid, kth: the kth highest value of each query that has so many rows."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(value)))
+    best = rows.select("qid", value).withColumn("place", place).where(F.col("place") <= k)
+    return best.groupBy("qid").agg(F.count("*").alias("n"), F.min(value).alias("kth")).where(F.col("n") == k).select("qid", "kth")
+
+
+def _signed(index: Index, queries: DataFrame, tokenizer: str) -> DataFrame:
+    """The known terms of the queries, a written table; signature is one for all queries with the same dense terms."""
+    known = query_terms(queries, tokenizer).join(index.idf.select("term", "df", "idf", "most"), "term").crossJoin(F.broadcast(index.stats.select("n_docs")))
+    weight, dense = F.col("idf") * F.col("qf"), F.col("df") * DENSE > F.col("n_docs")
+    own = F.array_sort(F.collect_list(F.when(dense, F.struct("term", "qf"))).over(Window.partitionBy("qid")))
+    return written(known.select("qid", F.sha2(F.to_json(own), 256).alias("signature"), "term", "pos", "qf", "df", "idf", weight.alias("weight"), (weight * F.col("most")).alias("bound"), dense.alias("dense")))
+
+
+def _board(index: Index, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(signature, block, size, low, high, upper, lower), a written table, and (signature, reach, tied, peak).
+
+    reach: what k documents have by the blocks' lower bounds, null if fewer are sure;
+    tied: the last ordinal of the blocks just at reach that it takes; peak: the highest
+    upper bound.
+    """
+    shared = terms.where("dense").select("signature", "term", "weight").distinct()
+    sums = shared.join(index.tops, "term").join(index.blocks, "block").groupBy("signature", "block", "size", "low", "high").agg(
+        F.sum(F.col("weight") * F.col("most")).alias("upper"), F.sum(F.when(F.col("n") == F.col("size"), F.col("weight") * F.col("least")).otherwise(0.0)).alias("lower")
+    )
+    board = written(sums)
+    order = Window.partitionBy("signature").orderBy(F.desc("lower"), "low", "block")
+    ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = board.withColumn("ahead", ahead).withColumn("peak", F.max("upper").over(Window.partitionBy("signature"))).where(F.col("ahead") < k)
+    sure = needed.groupBy("signature", "peak").agg(F.sum("size").alias("docs"), F.min("lower").alias("least"), F.collect_list(F.struct("lower", "high")).alias("ends"))
+    tied = F.array_max(F.transform(F.filter("ends", lambda x: x["lower"] <= F.col("least") + GRAIN), lambda x: x["high"]))
+    return board, sure.select("signature", "peak", F.when(F.col("docs") >= k, F.col("least")).alias("reach"), tied.alias("tied"))
+
+
+def candidates(index: Index, queries: DataFrame, k: int, tokenizer: str = "regex") -> tuple[DataFrame, DataFrame]:
+    """(qid, ordinal) of the documents that can be among the first k, and the terms of the queries."""
+    terms = _signed(index, queries, tokenizer)
+    board, sure = _board(index, terms, k)
+    impacts = index.postings().select("ordinal", block().alias("block"), "term", index.impact().alias("impact"))
+
+    def partial(chosen: DataFrame) -> DataFrame:
+        """qid, ordinal, partial, and the bounds of the dense rest."""
+        sums = chosen.select("qid", "signature", "term", "weight").join(impacts, "term").groupBy("qid", "signature", "ordinal", "block").agg(F.sum(F.col("weight") * F.col("impact")).alias("partial"))
+        return sums.join(board.select("signature", "block", "upper", "lower"), ["signature", "block"], "left").na.fill(0.0, ["upper", "lower"])
+
+    rare = terms.where("not dense")
+    before = F.coalesce(F.sum("df").over(Window.partitionBy("qid").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = rare.withColumn("before", before).where(F.col("before") < SEED * k)
+    first = _kth(partial(seeds).withColumn("least", F.col("partial") + F.col("lower")), "least", k)
+    plan = terms.select("qid", "signature").distinct().join(sure, "signature", "left").na.fill(0.0, ["peak"]).join(first, "qid", "left")
+    plan = written(plan.select("qid", "signature", "peak", "reach", "tied", F.greatest("reach", "kth").alias("least")))
+    upto = F.sum("bound").over(Window.partitionBy("qid").orderBy(F.desc("df"), "term"))
+    needed = F.col("least").isNull() | (F.col("upto") + F.col("peak") + SLACK >= F.col("least"))
+    asked = rare.withColumn("upto", upto).join(plan.select("qid", "peak", "least"), "qid").withColumn("needed", needed)
+    # what the terms that are not asked can add at most
+    asked = asked.withColumn("spare", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))).over(Window.partitionBy("qid")), F.lit(0.0)))
+    reaches = lambda most: F.col("least").isNull() | (most + SLACK >= F.col("least"))
+    limits = asked.groupBy("qid").agg(F.first("least").alias("least"), F.first("spare").alias("spare"))
+    most = F.col("partial") + F.col("upper") + F.col("spare")
+    met = written(partial(asked.where("needed")).join(limits, "qid").where(reaches(most)).select("qid", "ordinal", (F.col("partial") + F.col("lower")).alias("least"), most.alias("most")))
+    plan = written(plan.join(_kth(met, "least", k), "qid", "left").withColumn("least", F.greatest("least", "kth")))
+    kept = met.drop("least").join(plan.select("qid", "least"), "qid").where(reaches(F.col("most"))).select("qid", "ordinal")
+    late = (F.abs(F.col("upper") - F.col("reach")) <= SAME) & (F.col("low") > F.col("tied"))
+    open_ = plan.join(board, "signature").where(reaches(F.col("upper")) & ~F.coalesce(late, F.lit(False))).select("qid", "block")
+    return kept.unionByName(open_.join(index.placed(), "block").select("qid", "ordinal")).distinct(), terms
+
+
 def search(index: Index, queries: DataFrame, k: int, tokenizer: str = "regex", tie_break: str = "corpus_ordinal") -> DataFrame:
     """The top_k of scores, from the documents that can be in it."""
     _checked(k, tie_break)
     if (index.idf.agg(F.min("idf")).first()[0] or 0) < 0:  # in a tiny corpus a common term can count against a document
         return top_k(written(scores(index, queries, tokenizer)), queries, index.docs, k, tie_break)
-    known = query_terms(queries, tokenizer).join(index.idf.select("term", "df", "idf", "most"), "term").crossJoin(F.broadcast(index.stats.select("n_docs")))
-    weight = F.col("idf") * F.col("qf")
-    terms = written(known.select("qid", "term", "pos", "qf", "idf", weight.alias("weight"), (weight * F.col("most")).alias("bound"), (F.col("df") * COMMON > F.col("n_docs")).alias("common")))
-    impacts = index.postings().select("ordinal", "term", index.impact().alias("impact"))
-    rare = written(terms.where("not common").select("qid", "term", "weight").join(impacts, "term").groupBy("qid", "ordinal").agg(F.sum(F.col("weight") * F.col("impact")).alias("partial")))
-    order = Window.partitionBy("qid").orderBy(F.desc("partial"), "ordinal")
-    kth = rare.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).groupBy("qid").agg(F.count("*").alias("n"), F.min("partial").alias("kth")).where(F.col("n") == k).select("qid", "kth")
-    counts = rare.groupBy("qid").agg(F.count("*").alias("rare"))
-    rest = terms.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("common"), F.col("bound"))), F.lit(0.0)).alias("rest"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.when(F.col("common"), F.struct("term", "qf"))))), 256).alias("signature"))
-    plan = rest.join(counts, "qid", "left").join(kth, "qid", "left").na.fill(0, ["rare"])
-    plan = written(plan.withColumn("open", F.col("kth").isNull() | (F.col("rest") + SLACK >= F.col("kth"))))
-    reach = rare.join(plan.select("qid", "kth", "rest"), "qid").where(F.col("kth").isNull() | (F.col("partial") + F.col("rest") + SLACK >= F.col("kth"))).select("qid", "ordinal")
-    open_ = plan.where("open")
-    most = open_.agg(F.max("rare")).first()[0]
-    if most is not None:
-        shared = terms.where("common").join(open_.select("qid", "signature"), "qid").select("signature", "term", "weight").distinct()
-        ranked = shared.join(impacts, "term").groupBy("signature", "ordinal").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-        place = F.row_number().over(Window.partitionBy("signature").orderBy(F.round("score", 9).desc(), "ordinal"))
-        ranked = ranked.withColumn("place", place).where(F.col("place") <= k + most + SPARE).select("signature", "ordinal", "place")
-        first = open_.join(ranked, "signature").where(F.col("place") <= F.col("rare") + k + SPARE).select("qid", "ordinal")
-        reach = reach.unionByName(first).distinct()
+    reach, terms = candidates(index, queries, k, tokenizer)
     met = reach.join(terms.select("qid", "term", "pos", "qf", "idf"), "qid").join(index.postings(), ["ordinal", "term"])
     return top_k(written(_summed(index, met)), queries, index.docs, k, tie_break)
