@@ -29,6 +29,11 @@ def described(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.select("qid", "template", F.size("attrs").alias("n_atoms")).join(gold, "qid").withColumn("gold_size_bin", gold_size_bin("gold_size"))
 
 
+def _each(results: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """rows once for every method of results. Methods are named in code and few, however many queries there are; they are what is broadcast."""
+    return rows.crossJoin(F.broadcast(results.select(*(keys or ["method"])).distinct()))
+
+
 def distinct_rankings(results: DataFrame) -> DataFrame:
     """method, qid, ordinal, rank: each document once, at its first rank, ranks renumbered; null ranks stay null."""
     first = results.groupBy("method", "qid", "ordinal").agg(F.min("rank").alias("first"))
@@ -49,7 +54,7 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidate
     that all methods chose from, if the rows of results are not all their candidates; a
     ranked document outside them is an error.
     """
-    base = results.select("method").distinct().crossJoin(F.broadcast(described(queries, qrels)))
+    base = _each(results, described(queries, qrels))
     marked = distinct_rankings(results).join(qrels.select("qid", "ordinal", F.lit(True).alias("hit")).distinct(), ["qid", "ordinal"], "left")
     hit, rank = F.coalesce("hit", F.lit(False)), F.col("rank")
     gain = F.when(hit & rank.isNotNull(), 1 / F.log2(rank + 1))
@@ -100,10 +105,19 @@ def summarise(metrics: DataFrame) -> DataFrame:
     return out.select("method", kind.alias("group_type"), F.coalesce("template", "gold_size_bin", F.lit("all")).alias("group_value"), "n_queries", *METRICS, *SIZES)
 
 
-def ranking_errors(results: DataFrame, queries: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """Where gold documents are lost: not a candidate; ranked too low though there was room; no room at k. The three sum to the misses."""
-    base = results.select("method").distinct().crossJoin(F.broadcast(described(queries, qrels)))
-    found = results.join(qrels.select("qid", "ordinal"), ["qid", "ordinal"], "left_semi").groupBy("method", "qid").agg(F.count("*").alias("inside"), F.count_if(F.col("rank") <= k).alias("hits"))
+def ranking_errors(results: DataFrame, queries: DataFrame, qrels: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
+    """Where gold documents are lost: not a candidate; ranked too low though there was room; no room at k. The three sum to the misses.
+
+    A document that a ranking repeats counts at its first rank. candidates: as in evaluate;
+    a ranked document outside them is an error.
+    """
+    if candidates is not None and not outside(results, candidates).isEmpty():
+        raise ValueError("a ranking has documents outside the candidates")
+    base = _each(results, described(queries, qrels))
+    found = distinct_rankings(results).join(qrels.select("qid", "ordinal"), ["qid", "ordinal"], "left_semi").groupBy("method", "qid").agg(F.count("*").alias("inside"), F.count_if(F.col("rank") <= k).alias("hits"))
+    if candidates is not None:
+        inside = candidates.select("qid", "ordinal").distinct().join(qrels.select("qid", "ordinal"), ["qid", "ordinal"], "left_semi").groupBy("qid").agg(F.count("*").alias("inside"))
+        found = base.select("method", "qid").join(inside, "qid").join(found.drop("inside"), ["method", "qid"], "left")
     rows = base.join(found, ["method", "qid"], "left").na.fill(0)
     room = F.least(F.lit(k), F.col("inside"))
     return rows.select("method", "qid", "template", "gold_size", (F.col("gold_size") - F.col("hits")).alias("total_misses"), (F.col("gold_size") - F.col("inside")).alias("candidate_miss"), (room - F.col("hits")).alias("avoidable_ranking_miss"), (F.col("inside") - room).alias("structural_cutoff_miss"))
@@ -113,13 +127,13 @@ def composition_errors(results: DataFrame, atoms: DataFrame, lists: DataFrame, q
     """Candidate misses split: no list (any_list), or too few lists for the operator, had the document; or composition or exclusion lost it."""
     from .boolean import survives
 
-    lost = results.select("method", "depth").distinct().crossJoin(qrels.select("qid", "ordinal")).join(results.select("method", "depth", "qid", "ordinal"), ["method", "depth", "qid", "ordinal"], "left_anti")
+    lost = _each(results, qrels.select("qid", "ordinal"), "method", "depth").join(results.select("method", "depth", "qid", "ordinal"), ["method", "depth", "qid", "ordinal"], "left_anti")
     shape = atoms.groupBy("qid").agg(F.max("positive_operator").alias("positive_operator"), F.max("n_positive").alias("n_positive"))
     hits = atoms.where("not is_negative").join(lists, "attr").groupBy("depth", "qid", "ordinal").agg(F.count_distinct("pos").alias("hits"))
-    seen = lost.join(hits, ["depth", "qid", "ordinal"], "left").na.fill(0, ["hits"]).join(F.broadcast(shape), "qid")
+    seen = lost.join(hits, ["depth", "qid", "ordinal"], "left").na.fill(0, ["hits"]).join(shape, "qid")
     alive = F.col("hits") >= 1 if any_list else survives()
     split = seen.groupBy("method", "depth", "qid").agg(F.count_if(~alive).alias("atomic_miss"), F.count_if(alive).alias("composition_or_exclusion_miss"))
-    base = results.select("method", "depth").distinct().crossJoin(F.broadcast(described(queries, qrels).select("qid", "template", "gold_size")))
+    base = _each(results, described(queries, qrels).select("qid", "template", "gold_size"), "method", "depth")
     return base.join(split, ["method", "depth", "qid"], "left").na.fill(0, ["atomic_miss", "composition_or_exclusion_miss"]).select("method", "qid", "template", "gold_size", F.lit(0).cast("long").alias("parse_or_oracle_mismatch"), "atomic_miss", "composition_or_exclusion_miss")
 
 

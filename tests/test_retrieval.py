@@ -184,3 +184,16 @@ def test_catalog_equals_its_sql(spark, name):
     assert cols == sorted(got.columns) and len(want) == len(got)
     plain = lambda df: df[cols].map(lambda v: None if v is None or v != v else round(float(v), 8) if isinstance(v, float) else v).astype(str).sort_values(cols).values.tolist()
     assert sorted(plain(want)) == sorted(plain(got))
+
+
+def test_errors_count_a_repeated_document_once_and_refuse_outsiders(spark):
+    queries = spark.createDataFrame([("q", "_", ["a"])], "qid string, template string, attrs array<string>")
+    qrels = spark.createDataFrame([("q", 1), ("q", 2)], "qid string, ordinal long")
+    ranked = spark.createDataFrame([("m", "q", 1, r) for r in (1, 2, 3)] + [("m", "q", 7, 4)], "method string, qid string, ordinal long, rank int")
+    e = metrics.ranking_errors(ranked, queries, qrels, 5).first()
+    assert (e.total_misses, e.candidate_miss, e.avoidable_ranking_miss, e.structural_cutoff_miss) == (1, 1, 0, 0)
+    pool = spark.createDataFrame([("q", 1), ("q", 2), ("q", 7), ("q", 1)], "qid string, ordinal long")
+    e = metrics.ranking_errors(ranked, queries, qrels, 5, pool).first()
+    assert (e.total_misses, e.candidate_miss, e.avoidable_ranking_miss, e.structural_cutoff_miss) == (1, 0, 1, 0)
+    with pytest.raises(ValueError, match="outside the candidates"):
+        metrics.ranking_errors(ranked, queries, qrels, 5, pool.where("ordinal <> 7"))
