@@ -475,6 +475,19 @@ def rerank_order(fx):
     return rerank.order(fx.pool.select("qid", "ordinal", F.col("rank").alias("source_rank"), (F.col("ordinal") % 7).cast("double").alias("score")))
 
 
+MODELLED = r"""WITH words AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-''’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]') AS l, qid, NULL::BIGINT AS ordinal FROM queries
+    UNION ALL SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-''’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]'), NULL::VARCHAR, ordinal FROM corpus
+  ), hashed AS (SELECT qid, ordinal, list_transform(l, lambda t: ('0x' || md5(t)[1:4])::INT) AS b FROM words)
+  SELECT p.qid, p.ordinal, rank AS source_rank, list_sum(list_transform(list_filter(list_distinct(q.b[1:384]), lambda x: list_contains(d.b[1:greatest(384 - len(q.b), 0)], x)), lambda x: 1 + x * 7919 % 97)) / list_sum(list_transform(list_distinct(q.b[1:384]), lambda x: 1 + x * 7919 % 97)) AS score
+  FROM pool p JOIN hashed q ON q.qid = p.qid JOIN hashed d ON d.ordinal = p.ordinal"""
+
+
+@query(f"SELECT qid, ordinal, source_rank, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, source_rank)::INT AS rank FROM (SELECT qid, ordinal, source_rank, coalesce(score, 0) AS score FROM ({MODELLED}))")
+def rerank_model(fx):
+    """The pool by the numpy model, in batches."""
+    return _rounded(rerank.rerank(fx.pool.select("qid", "ordinal", "rank"), fx.queries, fx.corpus, rerank.overlap_model()))
+
+
 @query("SELECT qid, 'too_short' AS rule FROM pool WHERE rank % 2 = 0 GROUP BY qid HAVING count(*) < 200 UNION ALL SELECT DISTINCT qid, 'unknown_document' FROM pool WHERE rank % 2 = 0 AND ordinal % 50 = 0")
 def pool_violations(fx):
     return rerank.pool_violations(fx.pool.where("rank % 2 = 0"), fx.corpus.where("ordinal % 50 <> 0"), POOL)

@@ -4,16 +4,38 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rerank_prompt
+from ..sources.ordinals import with_ordinals
+from ..sources.tables import written
 
 INSTRUCTION = "Decide whether the document answers the query."
 CHECKPOINT = "qid string, ordinal long, source_rank int, score double, protocol string, seconds double"
+#: Queries whose scores are kept by one commit.
+GROUP = 64
+#: What a model scores with: a function of queries and documents, pair by pair.
+Score = Callable[[list[str], list[str]], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Model:
+    """A pair scorer. load makes the function from the weights and the token limit, once in each Python worker; weights are broadcast once a session."""
+
+    load: Callable[[Any, int], Score]
+    weights: Any = None
+    batch: int = 64
+    limit: int = 384
 
 
 def lexical_score(query: Column | str, document: Column | str) -> Column:
@@ -35,39 +57,121 @@ def protocol_fingerprint(**contract: object) -> str:
     return hashlib.sha256(json.dumps({"instruction": INSTRUCTION, **contract}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
-def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, scorer: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]] | None = None) -> DataFrame:
-    """qid, ordinal, source_rank, score, rank. scorer makes a function of two series of texts, once for each worker task; by default the lexical score."""
+_loaded: dict[str, Score] = {}
+
+
+def _scorer(name: str, shared, model: Model) -> Score:
+    """The model's function in this worker, made when first asked for under this name."""
+    if name not in _loaded:
+        _loaded.clear()  # one model at a time
+        _loaded[name] = model.load(shared.value, model.limit)
+    return _loaded[name]
+
+
+def batches(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of pairs of about one size, at most so many together: short ones do not wait for long ones."""
+    order = np.argsort(sizes, kind="stable")
+    for i in range(0, len(order), most):
+        yield order[i : i + most]
+
+
+def model_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """qid, ordinal, source_rank, score, seconds of pairs (qid, ordinal, source_rank, query, document); seconds: the pair's share of its batch's time."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model.weights)
+    bare, name = Model(model.load, None, model.batch, model.limit), uuid.uuid4().hex
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = _scorer(name, shared, bare)
+        for pdf in parts:
+            queries, documents = pdf["query"].tolist(), pdf["document"].tolist()
+            found, spent = np.empty(len(pdf)), np.empty(len(pdf))
+            for own in batches(np.array([len(q) + len(d) for q, d in zip(queries, documents, strict=True)], np.int64), bare.batch):
+                began = time.perf_counter()
+                found[own] = score([queries[i] for i in own], [documents[i] for i in own])
+                spent[own] = (time.perf_counter() - began) / len(own)
+            yield pdf[["qid", "ordinal", "source_rank"]].assign(score=found, seconds=spent)
+
+    return rows.select("qid", "ordinal", "source_rank", "query", "document").mapInPandas(run, "qid string, ordinal long, source_rank int, score double, seconds double")
+
+
+#: Fixed value: the token pattern in Python's dialect, where a word character is a letter, a number or the underscore.
+_TOKEN = re.compile(r"\w+(?:[-'’]\w+)*|[^\w\s]")
+BUCKETS = 1 << 16
+
+
+def overlap_weights() -> np.ndarray:
+    """The weight of every bucket of tokens, from a rule: 1 to 97."""
+    return 1.0 + np.arange(BUCKETS) * 7919 % 97
+
+
+def _overlap(weights: np.ndarray, limit: int) -> Score:
+    """Weighted share of the query's token buckets that the document has; a token's bucket is the first 16 bits of its md5."""
+
+    def buckets(text: str, most: int) -> np.ndarray:
+        return np.unique([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) for t in _TOKEN.findall(text)[:most]] or [-1])
+
+    def score(queries: list[str], documents: list[str]) -> np.ndarray:
+        out = np.zeros(len(queries))
+        for i, (q, d) in enumerate(zip(queries, documents, strict=True)):
+            room = max(limit - len(_TOKEN.findall(q)), 0)
+            asked = buckets(q, limit)
+            if asked[0] >= 0:
+                out[i] = weights[asked[np.isin(asked, buckets(d, room))]].sum() / weights[asked].sum()
+        return out
+
+    return score
+
+
+def overlap_model() -> Model:
+    """A small deterministic model in numpy, for runs without a neural one."""
+    return Model(_overlap, overlap_weights())
+
+
+def _pair_scores(pool: DataFrame, queries: DataFrame, corpus: DataFrame, model: Model | None) -> DataFrame:
+    """qid, ordinal, source_rank, score, seconds; seconds is null where Spark's own columns score."""
     rows = pairs(pool, queries, corpus)
-    if scorer is None:
-        return order(rows.select("qid", "ordinal", "source_rank", lexical_score("query", "document").alias("score")))
+    if model is not None:
+        return model_scores(rows, model)
+    return rows.select("qid", "ordinal", "source_rank", lexical_score("query", "document").alias("score"), F.lit(None).cast("double").alias("seconds"))
+
+
+def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, model: Model | None = None) -> DataFrame:
+    """qid, ordinal, source_rank, score, rank; by the lexical score if no model is given."""
+    return order(_pair_scores(pool, queries, corpus, model).drop("seconds"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
-        for pdf in batches:
-            yield pdf[["qid", "ordinal", "source_rank"]].assign(score=score(pdf["query"], pdf["document"]).to_numpy())
 
-    return order(rows.select("qid", "ordinal", "source_rank", "query", "document").mapInPandas(run, "qid string, ordinal long, source_rank int, score double"))
+def _exists(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def resumed(pool: DataFrame, queries: DataFrame, corpus: DataFrame, path: str, protocol: str, scorer: Callable | None = None, seconds: Callable[[], float] | None = None) -> DataFrame:
+def resumed(pool: DataFrame, queries: DataFrame, corpus: DataFrame, path: str, protocol: str, model: Model | None = None, group: int = GROUP, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
     """rerank that keeps each query's scores at path and scores only the queries without them.
 
-    A checkpoint is a partition of one query, which Spark's committer writes whole or
-    not at all. One that another pool or protocol made is an error: the caller chooses
-    another path or removes it.
+    A checkpoint is a partition of one query. Queries are scored and kept in groups of
+    at most ``group``, one commit a group, so a run that is cut off loses the group it
+    was at; Spark moves finished partitions into place, so no query is there in part. ``seconds`` is the time that scoring
+    the query took: a model's own time in its batches, else the query's share of its
+    group's. A checkpoint that another pool or protocol made is an error: the caller
+    chooses another path or removes it.
     """
     spark = pool.sparkSession
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    done = spark.read.schema(CHECKPOINT).parquet(path) if there else spark.createDataFrame([], CHECKPOINT)
-    if not incompatible(pool, done, protocol).isEmpty():
+    kept = lambda: spark.read.schema(CHECKPOINT).parquet(path) if _exists(spark, path) else spark.createDataFrame([], CHECKPOINT)
+    if not incompatible(pool, kept(), protocol).isEmpty():
         raise ValueError(f"{path} holds checkpoints of another pool or protocol")
-    open_ = pool.join(done.select("qid").distinct(), "qid", "left_anti")
-    if not open_.isEmpty():
-        began = seconds() if seconds else 0.0
-        found = rerank(open_, queries, corpus, scorer).withColumn("protocol", F.lit(protocol)).withColumn("seconds", F.lit(float(began)))
-        found.select("qid", "ordinal", "source_rank", "score", "protocol", "seconds").write.mode("append").partitionBy("qid").parquet(path)
-    return order(spark.read.schema(CHECKPOINT).parquet(path).join(pool.select("qid").distinct(), "qid", "left_semi").select("qid", "ordinal", "source_rank", "score"))
+    asked = pool.select("qid").distinct().join(kept().select("qid").distinct(), "qid", "left_anti")
+    # the number of a group, not its queries, is what the driver counts
+    numbered = written(with_ordinals(asked, "qid").select("qid", F.floor(F.col("ordinal") / group).alias("group")))
+    for i in range(-(-numbered.count() // group)):
+        mine = pool.join(numbered.where(F.col("group") == i).select("qid"), "qid", "left_semi")
+        began = clock()
+        found = written(_pair_scores(mine, queries, corpus, model))
+        share = (clock() - began) / max(found.count(), 1)
+        spent = F.sum(F.coalesce("seconds", F.lit(share))).over(Window.partitionBy("qid"))
+        found = found.withColumn("seconds", spent).withColumn("protocol", F.lit(protocol)).select("ordinal", "source_rank", "score", "protocol", "seconds", "qid")
+        found.repartition("qid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("qid").parquet(path)
+    return order(kept().join(pool.select("qid").distinct(), "qid", "left_semi").select("qid", "ordinal", "source_rank", "score"))
 
 
 def throughput(pairs_scored: int, seconds: float, queries: int, pool_k: int) -> dict[str, float | None]:

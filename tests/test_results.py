@@ -118,19 +118,65 @@ def test_reranking_resumes_and_fails_closed(spark, tmp_path):
     first = rerank.resumed(pool.where("qid = '0'"), queries, corpus, path, "p1")
     assert [r.ordinal for r in first.orderBy("rank").collect()] == [1, 3, 2]
 
-    def scorer():
-        return lambda q, d: q.str.len() * 0.0 + 1.0
-
-    both = rerank.resumed(pool, queries, corpus, path, "p1", scorer)
+    one = rerank.Model(lambda weights, limit: lambda q, d: np.full(len(q), weights), 1.0)
+    both = rerank.resumed(pool, queries, corpus, path, "p1", one)
     got = sorted(map(tuple, both.select("qid", "ordinal", "source_rank", "score", "rank").collect()))
     assert [r for r in got if r[0] == "0"] == [r for r in whole if r[0] == "0"] and {r[3] for r in got if r[0] == "1"} == {1.0}
-    assert sorted(map(tuple, rerank.resumed(pool, queries, corpus, path, "p1").collect())) == sorted(map(tuple, both.collect())) and not calls
+    assert sorted(map(tuple, rerank.resumed(pool, queries, corpus, path, "p1").collect())) == sorted(map(tuple, both.collect()))
     with pytest.raises(ValueError, match="another pool or protocol"):
         rerank.resumed(pool, queries, corpus, path, "p2")
     with pytest.raises(ValueError, match="another pool or protocol"):
         rerank.resumed(pool.where("rank < 3"), queries, corpus, path, "p1")
 
 
+def _refusing(*words):
+    """A model that fails on queries with one of the words."""
+
+    def load(weights, limit):
+        def score(queries, documents):
+            if any(w in q.split() for q in queries for w in words):
+                raise RuntimeError("the scorer died")
+            return np.array([len(q) * 1.0 + len(d) for q, d in zip(queries, documents, strict=True)])
+
+        return score
+
+    return rerank.Model(load, None, batch=4)
+
+
+def test_a_cut_off_run_keeps_whole_groups(spark, tmp_path):
+    corpus = spark.createDataFrame([(d, "word " * d) for d in range(6)], "ordinal long, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"query {i}") for i in range(10)], "qid string, text string")
+    pool = spark.createDataFrame([(f"q{i}", (i + r) % 6, r + 1) for i in range(10) for r in range(5)], "qid string, ordinal long, rank int")
+    path = str(tmp_path / "scores")
+    with pytest.raises(Exception, match="the scorer died"):
+        rerank.resumed(pool, queries, corpus, path, "p", _refusing("5"), group=2)
+    done = spark.read.parquet(path)
+    assert {(r.qid, r["count"]) for r in done.groupBy("qid").count().collect()} == {(f"q{i}", 5) for i in range(4)}
+    # those that are kept are not scored again: this model would die of them
+    whole = rerank.resumed(pool, queries, corpus, path, "p", _refusing("0", "1", "2", "3"), group=2)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, rerank.rerank(pool, queries, corpus, _refusing()).collect()))
+    spent = spark.read.parquet(path).groupBy("qid").agg(F.count_distinct("seconds").alias("n"), F.min("seconds").alias("s")).collect()
+    assert len(spent) == 10 and all(r.n == 1 and 0 < r.s < 60 for r in spent)
+
+
+def test_seconds_are_elapsed(spark, tmp_path):
+    corpus = spark.createDataFrame([(1, "a b"), (2, "b")], "ordinal long, text string")
+    queries = spark.createDataFrame([("0", "a"), ("1", "b")], "qid string, text string")
+    pool = spark.createDataFrame([("0", 1, 1), ("0", 2, 2), ("1", 2, 1)], "qid string, ordinal long, rank int")
+    ticks = iter([100.0, 106.0])
+    rerank.resumed(pool, queries, corpus, str(tmp_path / "s"), "p", clock=lambda: next(ticks))
+    assert {(r.qid, r.seconds) for r in spark.read.schema(rerank.CHECKPOINT).parquet(str(tmp_path / "s")).collect()} == {("0", 4.0), ("1", 2.0)}
+
+
+def test_batches_are_of_about_one_size_and_limits_hold(spark):
+    sizes = np.array([5, 1, 9, 1, 7, 3, 3])
+    got = list(rerank.batches(sizes, 3))
+    assert [sizes[g].tolist() for g in got] == [[1, 1, 3], [3, 5, 7], [9]] and sorted(np.concatenate(got)) == list(range(7))
+    score = rerank.overlap_model().load(rerank.overlap_weights(), 4)
+    # the query's two tokens leave room for two of the document
+    assert score(["red pear", "red pear", "", "x y z w v"], ["red pear blue", "blue green red pear", "red", "x y"]).tolist() == [1.0, 0.0, 0.0, 0.0]
+
+
 def test_throughput():
     assert rerank.throughput(100, 0, 7, 10) == {"pairs_per_second": None, "projected_hours": None}
     assert rerank.throughput(7200, 2, 720, 10) == {"pairs_per_second": 3600.0, "projected_hours": 7200 / 3600 / 3600}
