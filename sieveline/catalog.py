@@ -9,6 +9,7 @@ first document of each leading attribute, so that every plan has gold.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import regex_tokens, rerank_prompt, treebank_tokens
-from .operators import bm25, boolean, bootstrap, diagnostics, fusion, metrics, report, rerank
+from .operators import bm25, boolean, bootstrap, diagnostics, evidence, fusion, metrics, report, rerank
 from .plans import templates
 from .sources import corpus as sources
 from .sources import results as finished
 from .sources import sinks
 from .sources.ordinals import with_ordinals
-from .sources.tables import ship, written
+from .sources.tables import shared_dir, ship, written
 
 DEPTHS, POOL, FINAL = (5, 10, 25, 50, 100), 200, 100
 HEADLINE = ("recall_at_100", "norm_recall_at_100", "ndcg_at_20")
@@ -805,6 +806,45 @@ def free_text_topk(fx):
     return _rounded(bm25.search(bm25.build(docs), asked, FINAL), 6)
 
 
+#: Figures of the release, and what is planted in its files: a mean moved, one that is no number, a method left out, an interval moved.
+RELEASED = ("recall_at_100", "norm_recall_at_100", "ndcg_at_20", "candidate_recall")
+
+
+def _release(fx: Fixture) -> DataFrame:
+    """Claims of per-query rows, of a summary written as CSV and read back, of an object written as JSON and read back, and of two interval tables."""
+    rows = written(_main(fx))
+    at = f"{shared_dir(fx.spark)}/release-{uuid.uuid4().hex}"
+    moved = (F.col("method") == "full_verify") & (F.col("group_value") == "all")
+    sinks.write_csv(metrics.summarise(rows).select("method", "group_value", *(F.when(moved, F.col(m) + 1e-9).otherwise(F.col(m)).alias(m) if m == "ndcg_at_20" else m for m in RELEASED)), f"{at}/summary")
+    means = report.model_means(rows, RELEASED).where("method <> 'union_verify_L5'")
+    odd = F.when(F.col("method") == "exact", F.lit(float("nan"))).otherwise(F.col("recall_at_100"))
+    named = F.create_map(*(x for m in RELEASED for x in (F.lit(m), odd.cast("string") if m == "recall_at_100" else F.col(m).cast("string"))))
+    means.agg(F.map_from_entries(F.collect_list(F.struct("method", named.alias("m")))).alias("means")).write.json(f"{at}/object")
+    claims = evidence.row_claims(rows, RELEASED, "rows").unionByName(evidence.summary_claims(finished.read_csv(fx.spark, f"{at}/summary"), RELEASED, "summary"))
+    claims = claims.unionByName(evidence.object_claims(fx.spark.read.schema("means map<string,map<string,string>>").json(f"{at}/object"), "means", "object"))
+    stored = written(bootstrap.bootstrap(metrics.paired_deltas(rows.where("method in ('bm25', 'full_verify')"), "bm25", ("recall_at_100",)), 500))
+    stored = stored.withColumn("ci_high", F.col("ci_high") + 1e-9)
+    intervals = evidence.interval_claims(stored, "stored").unionByName(evidence.recomputed(rows, stored, ("recall_at_100",)))
+    return claims.unionByName(intervals).unionByName(evidence.difference_claims(claims.where("source = 'rows' and method in ('bm25', 'full_verify') and metric = 'recall_at_100'"), "bm25"))
+
+
+@query("""SELECT scope, method, metric, CASE WHEN scope <> 'all' THEN 2 WHEN method = 'union_verify_L5' THEN 2 ELSE 3 END::INT AS n_sources, NOT (scope = 'all' AND (method = 'full_verify' AND metric = 'ndcg_at_20' OR method = 'exact' AND metric = 'recall_at_100')) AS agree
+FROM (SELECT DISTINCT method, unnest(['all', template, gold_size_bin]) AS scope FROM main), (SELECT unnest(['recall_at_100', 'norm_recall_at_100', 'ndcg_at_20', 'candidate_recall']) AS metric)
+UNION ALL SELECT 'minus bm25', 'full_verify', 'recall_at_100' || s, 2 + (s = '')::INT, s <> '.ci_high' FROM (SELECT unnest(['', '.ci_low', '.ci_high', '.probability_positive']) AS s)""")
+def release_evidence(fx):
+    """Every figure of a release with the number of files that state it and whether they agree."""
+    return evidence.evidence(_release(fx)).select("scope", "method", "metric", F.size("sources").alias("n_sources"), "agree")
+
+
+@query("""SELECT qid AS subject, rule FROM (SELECT qid, 'wrong_pool' AS rule FROM pool GROUP BY qid HAVING count(*) <> 200 UNION ALL SELECT qid, 'metadata_differs' FROM queries WHERE ordinal % 10 = 0
+UNION ALL SELECT qid, 'wrong_models' FROM queries WHERE ordinal % 7 = 0) UNION ALL SELECT DISTINCT template, 'wrong_template_count' FROM (SELECT template, count(*) AS n, count(*) FILTER (WHERE ordinal % 7 <> 0) AS m FROM queries GROUP BY template) WHERE n <> 64 OR m <> 64""")
+def release_shape(fx):
+    """What the per-query rows of three methods over one pool break: rows left out, and gold sizes changed, on purpose."""
+    rows = _same_pool(fx).join(fx.queries.select("qid", "ordinal"), "qid").where("not (method = 'bm25' and ordinal % 7 = 0)")
+    changed = (F.col("method") == THREE[2]) & (F.col("ordinal") % 10 == 0)
+    return evidence.shape_violations(rows.withColumn("gold_size", F.col("gold_size") + changed.cast("int")), list(THREE), POOL, 64)
+
+
 _fixtures: dict[tuple[str, str], Fixture] = {}
 
 
