@@ -87,7 +87,7 @@ def violations(found: DataFrame, needed: int = 1) -> DataFrame:
 
 def misquoted(claims: DataFrame, quoted: DataFrame, digits: int = 3) -> DataFrame:
     """scope, method, metric, quoted, actual of quoted values (scope, method, metric, quoted as text) that no claim rounds to, or that some claim does not."""
-    shown = F.format_string(f"%.{digits}f", F.col("value"))
+    shown = F.when(F.col("value").isNotNull(), F.format_string(f"%.{digits}f", F.col("value")))
     found = quoted.join(claims, ["scope", "method", "metric"], "left")
     return found.where(F.coalesce(shown != F.col("quoted"), F.lit(True))).select("scope", "method", "metric", "quoted", shown.alias("actual")).distinct()
 
