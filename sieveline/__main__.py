@@ -1,4 +1,4 @@
-"""Command line: audit a collection, or evaluate every method over it."""
+"""Command line: audit a collection, evaluate every method over it, or check that the files of an evaluation agree."""
 
 from __future__ import annotations
 
@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import TOKENIZERS
-from .operators import bm25, boolean, bootstrap, diagnostics, fusion, metrics
+from .operators import bm25, boolean, bootstrap, diagnostics, evidence, fusion, metrics
 from .plans import templates
 from .sources import corpus as sources
+from .sources import results as finished
 from .sources import sinks
 from .sources.ordinals import with_ordinals
 from .sources.tables import ship, written
@@ -157,6 +158,19 @@ def run(spark: SparkSession, found: Collection, out: str, depths: list[int], tok
     return manifest
 
 
+def check(spark: SparkSession, out: str) -> DataFrame:
+    """scope, method, metric, rule of every figure of a run's files that another of its files, or a new bootstrap of its rows, does not confirm."""
+    numbers = lambda df, names: df.select(*(F.col(c).cast("double").alias(c) if c in names else c for c in df.columns))
+    rows = written(numbers(finished.read_csv(spark, f"{out}/per_query_metrics"), metrics.METRICS))
+    summary = finished.read_csv(spark, f"{out}/summary_metrics")
+    stored = written(finished.read_csv(spark, f"{out}/bootstrap_deltas"))
+    means = evidence.row_claims(rows, metrics.METRICS, "per_query_metrics")
+    claims = means.unionByName(evidence.summary_claims(summary, metrics.METRICS, "summary_metrics"))
+    intervals = evidence.interval_claims(stored, "bootstrap_deltas").unionByName(evidence.recomputed(rows, stored, HEADLINE))
+    differences = evidence.difference_claims(means.where(F.col("metric").isin(*HEADLINE)), "bm25").join(stored.select(F.col("treatment").alias("method")).distinct(), "method", "left_semi").select(*evidence.CLAIM)
+    return evidence.violations(evidence.evidence(claims.unionByName(intervals).unionByName(differences)), needed=2)
+
+
 def main(args: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="sieveline", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
@@ -174,9 +188,14 @@ def main(args: list[str] | None = None) -> int:
             p.add_argument("--tokenizer", choices=sorted(TOKENIZERS), default="regex")
             p.add_argument("--tie-break", choices=bm25.TIE_BREAKS, default="corpus_ordinal")
             p.add_argument("--bootstrap-samples", type=int, default=bootstrap.DRAWS)
+    sub.add_parser("check").add_argument("--output-dir", required=True)
     asked = top.parse_args(args)
     spark = SparkSession.builder.appName("sieveline").getOrCreate()
     ship(spark)
+    if asked.command == "check":
+        wrong = written(check(spark, asked.output_dir))
+        wrong.show(50, truncate=False)
+        return int(not wrong.isEmpty())
     sums, broken_files = checked_files(spark, asked.data_dir, [asked.corpus_file, asked.queries_file], asked.checksums, not asked.no_checksums)
     if broken_files:
         print(json.dumps({"checksums": broken_files}, indent=2))

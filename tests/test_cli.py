@@ -3,6 +3,7 @@ import json
 import pytest
 
 from sieveline import __main__ as cli
+from sieveline.sources import sinks
 from sieveline.streaming import intake
 
 
@@ -25,6 +26,18 @@ def test_audit_and_run(spark, tmp_path, monkeypatch):
     rows = spark.read.option("header", True).option("inferSchema", True).csv(str(out / "per_query_metrics"))
     assert rows.where("method = 'exact'").agg({"recall_at_100": "min"}).first()[0] == 1.0
     assert rows.select("method").distinct().count() == 3 + 4 * 2
+    assert cli.main(["check", "--output-dir", str(out)]) == 0
+    # a mean that the rows do not have, and an interval that their bootstrap does not give
+    for name, column in (("summary_metrics", "ndcg_at_20"), ("bootstrap_deltas", "ci_high")):
+        was = spark.read.option("header", True).csv(str(out / name))
+        moved = was.withColumn(column, (was[column].cast("double") + 1e-6).cast("string"))
+        sinks.write_csv(moved, str(tmp_path / "moved"))
+        kept = (out / name).rename(out / f"{name}-kept")
+        (tmp_path / "moved").rename(out / name)
+        assert cli.main(["check", "--output-dir", str(out)]) == 1
+        assert {r.metric.partition(".")[2] or r.metric for r in cli.check(spark, str(out)).collect()} == {column}
+        (out / name).rename(tmp_path / f"{name}-moved")
+        kept.rename(out / name)
     for bad in (["run", "--data-dir", "x"], ["run", "--data-dir", "x", "--output-dir", "y", "--depths", "0"], ["run", "--data-dir", "x", "--output-dir", "y", "--tie-break", "quick"]):
         with pytest.raises(SystemExit):
             cli.main(bad)
