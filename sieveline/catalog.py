@@ -16,7 +16,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import regex_tokens, rerank_prompt, treebank_tokens
+from .functions.text import CONTRACTIONS, regex_tokens, rerank_prompt, treebank_tokens
 from .operators import bm25, boolean, bootstrap, diagnostics, evidence, fusion, metrics, report, rerank
 from .plans import templates
 from .sources import corpus as sources
@@ -174,16 +174,18 @@ def query(sql: str | None = None):
 
 
 def _treebank_sql(source: str) -> str:
-    """The published conventions in DuckDB's dialect, which has no lookahead: what follows is taken along, and the step repeated."""
+    """The published conventions in DuckDB's dialect, which cannot look around: what is beside a word is taken along, and the step repeated."""
+    space = r"[\s\p{Z}\x1c-\x1f\x85]"
     steps = [
-        ('^"', "`` "), (r'([ (\[{<])"', r"\1 `` "), ('"', " '' "), (r"\.\.\.", " ... "), (r"([;@#$%&?!])", r" \1 "), (r"([,:])(\D|$)", r" \1 \2"), (r"([,:])(\D|$)", r" \1 \2"),
-        (r"([^.])(\.)([\])}>\"']*)\s*$", r"\1 \2\3 "), (r"([\]\[(){}<>])", r" \1 "), ("--", " -- "),
-        *[(r"(?i)([^' ])('s|'m|'d|'ll|'re|'ve)( |$)", r"\1 \2\3")] * 2, *[(r"(?i)([^' ])(n't)( |$)", r"\1 \2\3")] * 2, *[(r"([^'])('')( |$)", r"\1 \2\3")] * 2, *[(r"([^' ])(')( |$)", r"\1 \2\3")] * 2,
+        ("([«“‘„]|`+)", r" \1 "), ('^"', "``"), ("``", " `` "), (r"([ (\[{<])(\"|'')", r"\1 `` "), *[(rf"'([a-ce-lo-ru-zA-CE-LO-RU-Z0-9_])([^\p{{L}}\p{{N}}_]|$)", r"' \1\2")] * 2,
+        (rf"([^.])(\.)([\])}}>\"'»”’ ]*){space}*$", r"\1 \2 \3 "), (r"([:,])(\D)", r" \1 \2"), ("([:,])$", r" \1 "), (r"\.{2,}", r" \0 "), (r"[;@#$%&?!*]", r" \0 "), ("([^'])' ", r"\1 ' "),
+        (r"[\]\[(){}<>]", r" \0 "), ("--", " -- "), ("^", " "), ("$", " "), ("([»”’])", r" \1 "), ("''", " '' "), ('"', " '' "), ("([^' ])('[sSmMdD]|') ", r"\1 \2 "), ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "),
+        *[(rf"(?i)([^\p{{L}}\p{{N}}_])({a})({b})([^\p{{L}}\p{{N}}_])", r"\1 \2 \3\4") for a, b in CONTRACTIONS for _ in range(2)],
     ]
     text, quoted = "coalesce(text, '')", lambda x: x.replace("'", "''")
     for pattern, to in steps:
         text = f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(to)}', 'g')"
-    return rf"SELECT ordinal, to_json(list_filter(regexp_split_to_array({text}, '\s+'), lambda t: t <> ''))::VARCHAR AS tokens FROM ({source})"
+    return rf"SELECT ordinal, to_json(list_filter(regexp_split_to_array({text}, '{space}+'), lambda t: t <> ''))::VARCHAR AS tokens FROM ({source})"
 
 
 #: CTEs that the checks share, in order of use.

@@ -17,23 +17,36 @@ def regex_tokens(text: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+#: Words that the Penn Treebank conventions write as two, in any case.
+CONTRACTIONS = (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n"), ("wan", "na"), ("'t", "is"), ("'t", "was"))
+_LETTER = r"[\p{L}\p{N}_]"
+
+
 def treebank_tokens(text: Column | str) -> Column:
-    """Tokens by the published Penn Treebank conventions, without splitting sentences.
+    """Tokens by the published Penn Treebank conventions, without splitting sentences; case-preserving, none for null.
 
-    Quotes become `` and '', punctuation other than inner periods stands alone, the
-    period at the end of the text is split off, contractions are split (ca n't, it 's).
+    Opening double quotes become `` and closing ones ''; other quotation marks and
+    punctuation stand alone, but for a comma or colon before a digit, which stays in its
+    word. Two periods or more are one token. A single period is split off at the end of
+    the text only, also before closing quotes and brackets. Clitics (it 's, ca n't,
+    they 're), possessive apostrophes and the words in CONTRACTIONS (can not, gim me) are split.
     """
     col = F.col(text) if isinstance(text, str) else text
-    steps = [
-        (r'^"', "`` "), (r'([ (\[{<])"', "$1 `` "), (r'"', " '' "),
-        (r"\.\.\.", " ... "), (r"([;@#$%&?!])", " $1 "), (r"([,:])(?=\D|$)", " $1 "),
-        (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "), (r"([\]\[(){}<>])", " $1 "), (r"--", " -- "),
-        (r"(?i)([^' ])('s|'m|'d|'ll|'re|'ve)(?= |$)", "$1 $2"), (r"(?i)([^' ])(n't)(?= |$)", "$1 $2"), (r"([^'])('')(?= |$)", "$1 $2"), (r"([^' ])(')(?= |$)", "$1 $2"),
-    ]
     out = F.coalesce(col, F.lit(""))
-    for pattern, to in steps:
+    opening = [("([«“‘„]|`+)", " $1 "), ('^"', "``"), ("``", " `` "), (r"([ (\[{<])(\"|'')", "$1 `` "), (rf"'((?![mtsdnMTSDN]){_LETTER})(?!{_LETTER})", "' $1")]
+    marks = [
+        (rf"([^.])(\.)([\])}}>\"'»”’ ]*){_SPACE}*$", "$1 $2 $3 "), (r"([:,])(\D)", " $1 $2"), ("([:,])$", " $1 "), (r"\.{2,}", " $0 "), (r"[;@#$%&?!*]", " $0 "), ("([^'])' ", "$1 ' "),
+        (r"[\]\[(){}<>]", " $0 "), ("--", " -- "),
+    ]
+    for pattern, to in opening + marks:
+        out = F.regexp_replace(out, pattern, to)
+    # what comes last looks for the space behind a word
+    out = F.concat(F.lit(" "), out, F.lit(" "))
+    closing = [("([»”’])", " $1 "), ("''", " '' "), ('"', " '' "), ("([^' ])('[sSmMdD]|') ", "$1 $2 "), ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 ")]
+    firsts, whole = "|".join(dict.fromkeys(a for a, _ in CONTRACTIONS)), "|".join(a + b for a, b in CONTRACTIONS)
+    for pattern, to in [*closing, (rf"(?i)(?<!{_LETTER})(?=(?:{whole})(?!{_LETTER}))({firsts})", " $1 ")]:
         out = F.regexp_replace(out, pattern, to)
-    return F.filter(F.split(out, r"\s+"), lambda t: t != "")
+    return F.filter(F.split(out, f"{_SPACE}+"), lambda t: t != "")
 
 
 TOKENIZERS: dict[str, Callable[[Column | str], Column]] = {"regex": regex_tokens, "treebank": treebank_tokens}
