@@ -8,7 +8,6 @@ import platform
 import sys
 import time
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy
 import pyspark
@@ -20,7 +19,7 @@ from .operators import bm25, boolean, bootstrap, diagnostics, evidence, fusion,
 from .plans import templates
 from .sources import corpus as sources
 from .sources import results as finished
-from .sources import sinks
+from .sources import files, sinks
 from .sources.ordinals import with_ordinals
 from .sources.tables import ship, written
 
@@ -57,9 +56,9 @@ def load(spark: SparkSession, corpus_path: str, queries_path: str) -> Collection
 
 def checked_files(spark: SparkSession, folder: str, names: list[str], listed: str | None, verify: bool) -> tuple[dict[str, str], list[tuple[str, str]]]:
     """Checksums of the files, and (file, rule) of those that are not as listed (lines of checksum and name, as sha256sum writes them)."""
-    pins = Path(listed or f"{folder}/SHA256SUMS")
-    expected = [line.split(maxsplit=1)[::-1] for line in pins.read_text().splitlines() if line.strip()] if verify and (listed or pins.exists()) else []
-    present = [f"{folder}/{n}" for n in sorted({*names, *(name.lstrip("*") for name, _ in expected)}) if Path(f"{folder}/{n}").exists()]
+    pins = listed or f"{folder}/SHA256SUMS"
+    expected = [line.split(maxsplit=1)[::-1] for line in files.read_text(spark, pins).splitlines() if line.strip()] if verify and (listed or files.exists(spark, pins)) else []
+    present = [p for p in (f"{folder}/{n}" for n in sorted({*names, *(name.lstrip("*") for name, _ in expected)})) if files.exists(spark, p)]
     observed = sources.checksums(spark, present)
     broken = []
     if expected:
@@ -154,7 +153,7 @@ def run(spark: SparkSession, found: Collection, out: str, depths: list[int], tok
         },
         "artifacts": {k: k for k in tables} | {"audit": "data_audit.json", "runs": ["runs/exact", "runs/bm25", "runs/atomic", "runs/composed"]},
     }
-    sinks.write_json(manifest, f"{out}/manifest.json")
+    sinks.write_json(spark, manifest, f"{out}/manifest.json")
     return manifest
 
 
@@ -208,7 +207,7 @@ def main(args: list[str] | None = None) -> int:
         broken.show(50, truncate=False)
         return 1
     if asked.command == "run":
-        sinks.write_json(summary, f"{asked.output_dir}/data_audit.json")
+        sinks.write_json(spark, summary, f"{asked.output_dir}/data_audit.json")
         print(json.dumps(run(spark, found, asked.output_dir, asked.depths, asked.tokenizer, asked.bootstrap_samples, asked.tie_break), indent=2, sort_keys=True, default=str))
     return 0
 

@@ -325,12 +325,14 @@ def plan_atoms(fx):
     return fx.atoms
 
 
-_BROKEN = [("a", "_", ["x"]), ("b", "_ or _", ["x"]), ("c", "no such", ["x"]), ("d", "_ that are not _", ["x", " "]), ("e", "_", [])]
-
-
-@query("SELECT * FROM (VALUES ('b', 'wrong_arity'), ('c', 'unknown_template'), ('d', 'empty_attribute'), ('e', 'wrong_arity')) v(qid, rule)")
+@query("""SELECT qid, CASE WHEN ordinal % 5 = 0 THEN 'unknown_template' WHEN ordinal % 7 = 0 THEN 'wrong_arity' ELSE 'empty_attribute' END AS rule FROM queries WHERE ordinal % 5 = 0 OR ordinal % 7 = 0 OR ordinal % 11 = 0
+UNION ALL SELECT qid, 'empty_attribute' FROM queries WHERE ordinal % 11 = 0 AND (ordinal % 5 = 0 OR ordinal % 7 = 0)""")
 def plan_violations(fx):
-    return templates.violations(fx.spark.createDataFrame(_BROKEN, "qid string, template string, attrs array<string>"))
+    """The fixture's plans, of which some have another template, an attribute too many or a blank one."""
+    planted = lambda n: F.col("ordinal") % n == 0
+    attrs = F.when(planted(11), F.concat(F.array(F.lit(" ")), F.slice("attrs", 2, F.size("attrs")))).otherwise(F.col("attrs"))
+    attrs = F.when(planted(7), F.concat(attrs, F.array(F.lit("more")))).otherwise(attrs)
+    return templates.violations(fx.queries.select("qid", F.when(planted(5), F.lit("no such")).otherwise(F.col("template")).alias("template"), attrs.alias("attrs")))
 
 
 @query("SELECT qid, rule FROM (SELECT qid || 'x' AS qid, 'text_is_not_rendering' AS rule FROM queries UNION ALL SELECT qid || 'x', 'no_gold' FROM queries)")
@@ -741,17 +743,25 @@ def pool_digest(fx):
     return fx.spark.createDataFrame([(sinks.pool_digest(pool, "ordinal"), pool.select("qid").distinct().count())], "sha256 string, queries long")
 
 
-@query("SELECT * FROM (VALUES ('$.a', '1.0 != 2'), ('$.b.c', 'left only'), ('$.d', 'length 2 != 1'), ('$.e', 'True != 1')) v(path, difference)")
+@query("""SELECT '$.counts.' || template AS path, n || ' != ' || (n + 1) AS difference FROM (SELECT template, count(*) AS n FROM queries GROUP BY template) WHERE n % 2 = 0
+UNION ALL SELECT '$.sizes[' || (n - 1) || ']', 'left only' FROM (SELECT count(DISTINCT attr) AS n FROM facts) UNION ALL SELECT '$.exact', 'True != 1' UNION ALL SELECT '$.more', 'right only'""")
 def manifest_differences(fx):
-    """Differences of two nested values, of which some are within the tolerance."""
-    left, right = {"a": 1.0, "b": {"c": 1}, "d": [1, 2], "e": True, "f": 0.1 + 0.2}, {"a": 2, "b": {}, "d": [1], "e": 1, "f": 0.3}
-    return fx.spark.createDataFrame(list(finished.differences(left, right)), "path string, difference string")
+    """Differences of two nested objects over the collection: counts moved, the last size left out, a truth value as a number; a mean within the tolerance is none."""
+    counts = {r.template: r.n for r in fx.queries.groupBy("template").agg(F.count("*").alias("n")).collect()}
+    sizes = [r.posting_size for r in sources.postings(fx.facts).orderBy("attr").select("posting_size").collect()]
+    mean = sum(sizes) / len(sizes)
+    left = {"counts": counts, "sizes": sizes, "mean": mean, "exact": True}
+    right = {"counts": {t: n + (n % 2 == 0) for t, n in counts.items()}, "sizes": sizes[:-1], "mean": mean * (1 + 1e-13), "exact": 1, "more": []}
+    return fx.spark.createDataFrame(finished.differences(finished.leaves(left), finished.leaves(right)), "path string, difference string")
 
 
-@query("SELECT round(700 * 1000 / 3600.0::DOUBLE / (count(*) / 50.0::DOUBLE), 9) AS projected_hours, count(*) / 50.0::DOUBLE AS pairs_per_second FROM pool")
+@query("""SELECT sum(n)::BIGINT AS pairs, round(sum(s), 9) AS seconds, round(sum(n) / sum(s), 9) AS pairs_per_second, round(count(*) * 200 / (sum(n) / sum(s)) / 3600, 9) AS projected_hours
+FROM (SELECT qid, count(*) AS n, (1 + min(ordinal) % 7) / 4.0::DOUBLE AS s FROM pool WHERE rank > 1 GROUP BY qid)""")
 def throughput(fx):
-    rate = rerank.throughput(fx.pool.count(), 50.0, 700, 1000)
-    return fx.spark.createDataFrame([(round(rate["projected_hours"], 9), rate["pairs_per_second"])], "projected_hours double, pairs_per_second double")
+    """Of checkpoints over the pool without its first documents, with times made from its ids; projected to whole pools."""
+    spent = (1 + F.min("ordinal").over(Window.partitionBy("qid")) % 7) / 4.0
+    done = fx.pool.where("rank > 1").withColumn("seconds", spent)
+    return _rounded(rerank.measured(done, fx.pool.select("qid").distinct(), POOL))
 
 
 @query("SELECT attr AS qid, 'posting_size' AS \"column\", posting_size::VARCHAR AS left_value, (posting_size + 1)::VARCHAR AS right_value FROM (SELECT attr, count(*) AS posting_size FROM facts GROUP BY attr) WHERE posting_size % 2 = 0 UNION ALL SELECT attr, 'left_only', NULL, NULL FROM facts GROUP BY attr HAVING count(*) % 5 = 1 AND count(*) % 2 = 1")

@@ -180,6 +180,14 @@ def throughput(pairs_scored: int, seconds: float, queries: int, pool_k: int) ->
     return {"pairs_per_second": rate, "projected_hours": queries * pool_k / rate / 3600 if rate else None}
 
 
+def measured(done: DataFrame, queries: DataFrame, pool_k: int) -> DataFrame:
+    """pairs, seconds, pairs_per_second, projected_hours of checkpoints, projected to pool_k pairs of every query; the last two null where no time passed."""
+    by = done.groupBy("qid").agg(F.count("*").alias("pairs"), F.max("seconds").alias("seconds"))
+    total = by.agg(F.coalesce(F.sum("pairs"), F.lit(0).cast("long")).alias("pairs"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds")).crossJoin(queries.agg((F.count("*") * pool_k).alias("all")))
+    rate = F.try_divide("pairs", "seconds")
+    return total.select("pairs", "seconds", rate.alias("pairs_per_second"), (F.try_divide(F.col("all"), rate) / 3600).alias("projected_hours"))
+
+
 def order(scored: DataFrame) -> DataFrame:
     """Score descending, then pool order."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "source_rank")))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import likes
 from ..operators import boolean
 from ..plans import templates
+from . import files
 from .ordinals import with_ordinals
 
 CORPUS = T.StructType([T.StructField("_id", T.StringType()), T.StructField("text", T.StringType())])
@@ -32,10 +33,19 @@ def corrupt_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return lines.select(parsed.alias("row"), "file").where("row._corrupt is not null").select("row._corrupt", "file")
 
 
+#: Bytes of the largest file that executors hash as one value of a row.
+LARGE = (1 << 31) - 1024
+
+
 def checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, sha256 of whole files."""
-    read = spark.read.format("binaryFile").load(paths)
-    return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    """file, sha256 of whole files: by executors, one row a file, and those too large for a row as streams."""
+    large = [p for p in paths if files.size(spark, p) > LARGE]
+    streamed = spark.createDataFrame([(p.rpartition("/")[2], files.sha256(spark, p)) for p in large], "file string, sha256 string")
+    small = [p for p in paths if p not in large]
+    if not small:
+        return streamed
+    read = spark.read.format("binaryFile").load(small)
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256")).unionByName(streamed)
 
 
 def checksum_violations(observed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import gzip
 import hashlib
 import json
 from collections.abc import Iterator
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One header, blanks for nulls; refuses an empty table."""
@@ -28,10 +29,9 @@ def write_run(rankings: DataFrame, path: str, keys: tuple[str, ...] = ("qid",))
     by.select(*keys, F.col("r.doc_id").alias("ranking"), *scores).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def write_json(row: dict, path: str) -> None:
+def write_json(spark: SparkSession, row: dict, path: str) -> None:
     """One object, sorted keys, two-space indent, a newline at the end."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(row, indent=2, sort_keys=True, default=str, ensure_ascii=False) + "\n", encoding="utf-8")
+    files.write_text(spark, path, json.dumps(row, indent=2, sort_keys=True, default=str, ensure_ascii=False) + "\n")
 
 
 def pool_lines(pool: DataFrame, document: str = "doc_id") -> Iterator[bytes]:
@@ -49,13 +49,28 @@ def pool_digest(pool: DataFrame, document: str = "doc_id") -> str:
     return digest.hexdigest()
 
 
+class _Digested:
+    """Writes on, and hashes what it writes."""
+
+    def __init__(self, out):
+        self.out, self.digest = out, hashlib.sha256()
+
+    def write(self, data: bytes) -> int:
+        self.digest.update(data)
+        return self.out.write(data)
+
+    def flush(self) -> None:
+        self.out.flush()
+
+
 def export_pool(pool: DataFrame, path: str, document: str = "doc_id") -> dict[str, object]:
     """Write the canonical pool, compressed so that equal pools give equal files; counts and both digests."""
     digest, queries, ids = hashlib.sha256(), 0, 0
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "wb") as raw, gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) as out:
-        for line in pool_lines(pool, document):
-            digest.update(line)
-            out.write(line)
-            queries, ids = queries + 1, ids + len(json.loads(line)["ranking"])
-    return {"artifact": path, "queries": queries, "candidate_ids": ids, "uncompressed_sha256": digest.hexdigest(), "compressed_sha256": hashlib.sha256(Path(path).read_bytes()).hexdigest()}
+    with files.writer(pool.sparkSession, path) as raw:
+        packed = _Digested(raw)
+        with gzip.GzipFile(filename="", mode="wb", fileobj=packed, mtime=0) as out:
+            for line in pool_lines(pool, document):
+                digest.update(line)
+                out.write(line)
+                queries, ids = queries + 1, ids + len(json.loads(line)["ranking"])
+    return {"artifact": path, "queries": queries, "candidate_ids": ids, "uncompressed_sha256": digest.hexdigest(), "compressed_sha256": packed.digest.hexdigest()}

@@ -12,7 +12,7 @@ from sieveline import __main__ as cli
 from sieveline.operators import bm25, bootstrap, metrics, rerank
 from sieveline.plans import templates
 from sieveline.sources import corpus as sources
-from sieveline.sources import results, sinks
+from sieveline.sources import files, results, sinks
 from test_cli import _collection
 
 
@@ -183,12 +183,12 @@ def test_throughput():
 
 
 def test_results_are_read_and_compared(spark, tmp_path):
-    sinks.write_json({"b": 1, "a": {"é": [1, 2]}}, str(tmp_path / "o" / "x.json"))
+    sinks.write_json(spark, {"b": 1, "a": {"é": [1, 2]}}, str(tmp_path / "o" / "x.json"))
     assert (tmp_path / "o" / "x.json").read_text() == '{\n  "a": {\n    "é": [\n      1,\n      2\n    ]\n  },\n  "b": 1\n}\n'
-    assert results.read_json(str(tmp_path / "o" / "x.json"))["b"] == 1
+    assert results.read_json(spark, str(tmp_path / "o" / "x.json"))["b"] == 1
     (tmp_path / "list.json").write_text("[1]")
     with pytest.raises(ValueError):
-        results.read_json(str(tmp_path / "list.json"))
+        results.read_json(spark, str(tmp_path / "list.json"))
     table = spark.createDataFrame([("m", *[0.5] * 5)], "method string, " + ", ".join(f"{m} double" for m in results.METRICS))
     sinks.write_csv(table, str(tmp_path / "t"))
     read = results.read_csv(spark, str(tmp_path / "t"))
@@ -201,8 +201,10 @@ def test_results_are_read_and_compared(spark, tmp_path):
     assert results.deltas_of({"m": dict.fromkeys(results.DELTAS, 1)}, ("m",)) == {"m": dict.fromkeys(results.DELTAS, 1.0)}
     with pytest.raises(ValueError):
         results.deltas_of({"m": 3}, ("m",))
-    assert list(results.differences({"a": [1, 2.0]}, {"a": [1, 2.0 + 1e-13]})) == []
-    assert [p for p, _ in results.differences({"a": True, "b": [1], "c": None}, {"a": 1, "b": [2], "d": 0})] == ["$.c", "$.d", "$.a", "$.b[0]"]
+    differ = lambda a, b: results.differences(results.leaves(a), results.leaves(b))
+    assert differ({"a": [1, 2.0]}, {"a": [1, 2.0 + 1e-13]}) == []
+    assert [p for p, _ in differ({"a": True, "b": [1], "c": None}, {"a": 1, "b": [2], "d": 0})] == ["$.a", "$.b[0]", "$.c", "$.d"]
+    assert differ({"a": [1, 2], "b": {}, "c": 0}, {"a": [1], "b": {"x": 1}, "c": False}) == [("$.a[1]", "left only"), ("$.b", "left only"), ("$.b.x", "right only"), ("$.c", "0 != False")]
 
 
 def test_manifests_and_outputs(spark, tmp_path, monkeypatch):
@@ -211,13 +213,13 @@ def test_manifests_and_outputs(spark, tmp_path, monkeypatch):
     outs = [str(tmp_path / n) for n in "ab"]
     for out in outs:
         assert cli.main(["run", "--data-dir", str(tmp_path), "--output-dir", out, "--depths", "2,3", "--bootstrap-samples", "20"]) == 0
-    one, two = (results.comparable_manifest(results.read_json(f"{out}/manifest.json")) for out in outs)
-    assert list(results.differences(one, two)) == [] and one["runtime"]["python"].count(".") == 1 and "total_seconds" not in one["runtime"]
+    one, two = (results.manifest_leaves(results.read_json(spark, f"{out}/manifest.json")) for out in outs)
+    assert results.differences(one, two) == [] and one["$.runtime.python"].count(".") == 1 and "$.runtime.total_seconds" not in one
     with pytest.raises(ValueError):
-        results.comparable_manifest({"runtime": {}})
+        results.manifest_leaves({"runtime": {}})
     tables, runs = ("per_query_metrics", "bootstrap_deltas", "atomic_summary", "error_decomposition", "gone"), ("runs/exact", "runs/bm25", "runs/atomic", "runs/composed")
     assert [tuple(r) for r in results.absent_outputs(spark, outs[0], tables, runs).collect()] == [("gone", "missing")]
-    audit = results.read_json(f"{outs[0]}/data_audit.json")
+    audit = results.read_json(spark, f"{outs[0]}/data_audit.json")
     assert audit["n_documents"] == 3 and audit["exact_mismatches"] == 0 and len(audit["checksums"]) == 2
     rows = results.read_csv(spark, f"{outs[0]}/per_query_metrics")
     assert {r.method: r.nominal_atomic_budget for r in rows.where("qid = '2'").collect()}["union_verify_L3"] == "6"
@@ -244,3 +246,44 @@ def test_audit_fails_on(spark, tmp_path, monkeypatch, change):
     lines = [json.loads(x) for x in (tmp_path / "queries.jsonl").read_text().splitlines()]
     (tmp_path / "queries.jsonl").write_text("".join(json.dumps(change(q) if k == 1 else q) + "\n" for k, q in enumerate(lines)))
     assert cli.main(["audit", "--data-dir", str(tmp_path)]) == 1
+
+
+@pytest.fixture
+def mounted(spark, tmp_path):
+    """A path that only Spark opens."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.{tmp_path.name.replace('_', '-')}.link./in", f"file://{tmp_path}")
+    return f"viewfs://{tmp_path.name.replace('_', '-')}/in"
+
+
+def test_files_by_a_path_that_only_spark_opens(spark, tmp_path, mounted, monkeypatch):
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    _collection(tmp_path)
+    sums = {n: hashlib.sha256((tmp_path / n).read_bytes()).hexdigest() for n in ("corpus.jsonl", "queries.jsonl")}
+    (tmp_path / "SHA256SUMS").write_text("".join(f"{v}  {k}\n" for k, v in sums.items()))
+    assert cli.main(["audit", "--data-dir", mounted]) == 0
+    (tmp_path / "SHA256SUMS").write_text(f"{'0' * 64}  corpus.jsonl\n")
+    assert cli.main(["audit", "--data-dir", mounted]) == 1
+    for row in ({"b": "é"}, {"b": 2}):
+        sinks.write_json(spark, row, f"{mounted}/o/x.json")
+        assert results.read_json(spark, f"{mounted}/o/x.json") == row
+    pool = spark.createDataFrame([("1", 1, "d")], "qid string, rank int, doc_id string")
+    told = sinks.export_pool(pool, f"{mounted}/o/pool.gz")
+    assert told["compressed_sha256"] == hashlib.sha256((tmp_path / "o" / "pool.gz").read_bytes()).hexdigest()
+    with pytest.raises(RuntimeError), files.writer(spark, f"{mounted}/o/x.json") as out:
+        out.write(b"half")
+        raise RuntimeError
+    assert results.read_json(spark, f"{mounted}/o/x.json") == {"b": 2} and {p.name for p in (tmp_path / "o").iterdir() if p.suffix != ".crc"} == {"x.json", "pool.gz"}
+
+
+def test_checksums_of_files_beyond_a_row(spark, tmp_path):
+    for name, end in (("small", 10), ("large", (1 << 31) + 5)):
+        with open(tmp_path / name, "wb") as f:
+            f.seek(end)
+            f.write(b"x")
+    want = {}
+    for name in ("small", "large"):
+        with open(tmp_path / name, "rb") as f:
+            want[name] = hashlib.file_digest(f, "sha256").hexdigest()
+    assert {r.file: r.sha256 for r in sources.checksums(spark, [str(tmp_path / n) for n in want]).collect()} == want
+    (tmp_path / "large").unlink()
