@@ -9,6 +9,7 @@ first document of each leading attribute, so that every plan has gold.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
@@ -28,6 +29,8 @@ from .sources.tables import shared_dir, ship, written
 DEPTHS, POOL, FINAL = (5, 10, 25, 50, 100), 200, 100
 HEADLINE = ("recall_at_100", "norm_recall_at_100", "ndcg_at_20")
 NEGATED = (templates.AND_NOT_3, templates.NOT_2)
+#: What a judge takes for a liking; see Fixture.judged.
+JUDGED = "l_quantity >= 46 and l_returnflag <> 'R'"
 
 
 class Fixture:
@@ -40,12 +43,16 @@ class Fixture:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @cached_property
-    def facts(self) -> DataFrame:
-        lines = self.read("lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey")
+    def bought(self, rule: str) -> DataFrame:
+        """(ordinal, attr): customers and the parts they ordered on lines that the rule holds for."""
+        lines = self.read("lineitem").where(rule).select("l_orderkey", "l_partkey")
         orders, part = self.read("orders").select("o_orderkey", "o_custkey"), self.read("part").select("p_partkey", "p_name")
         rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-        return written(rows.select(F.col("o_custkey").alias("ordinal"), F.col("p_name").alias("attr")).distinct())
+        return rows.select(F.col("o_custkey").alias("ordinal"), F.col("p_name").alias("attr")).distinct()
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return written(self.bought("l_quantity >= 48"))
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -95,6 +102,17 @@ class Fixture:
     def qrels(self) -> DataFrame:
         return self.exact
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """(qid, ordinal): gold that is judged on the orders, not executed over what texts state.
+
+        A customer is relevant by what it ordered 46 or more of and did not send back, so
+        texts state likings that the judgement denies and leave out some that it holds.
+        """
+        held = self.atoms.join(self.bought(JUDGED), "attr").groupBy("qid", "ordinal").agg(F.count_if(~F.col("is_negative")).alias("for"), F.count_if("is_negative").alias("against"))
+        need = self.atoms.groupBy("qid").agg(F.max(F.when(F.col("positive_operator") == "and", F.col("n_positive")).otherwise(1)).alias("need"))
+        return written(held.join(need, "qid").where("against = 0 and for >= need").select("qid", "ordinal"))
+
     def of(self, template: str) -> DataFrame:
         return self.queries.where(F.col("template") == template)
 
@@ -515,6 +533,31 @@ def metrics_per_query(fx):
     return _rounded(metrics.evaluate(_union(results(fx).values()), fx.queries, fx.qrels))
 
 
+def _judged_sql() -> str:
+    """The checks of the measures, their gold replaced by the judged one, which is restated in sets of lists."""
+    measures = BASE[BASE.index("descr AS (") : BASE.index("), main AS")]
+    for name in ("exact", "descr", "sums", "measured"):
+        measures = re.sub(rf"\b{name}\b", f"judged_{name}", measures)
+    return f""", kept AS (
+  SELECT o_custkey AS ordinal, list(DISTINCT p_name) AS has FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE {JUDGED} GROUP BY o_custkey
+), judged_exact AS MATERIALIZED (
+  SELECT qid, k.ordinal FROM (SELECT qid, op, CASE WHEN neg THEN attrs[:-2] ELSE attrs END AS wanted, CASE WHEN neg THEN attrs[-1:] ELSE [] END AS barred FROM queries), kept k
+  WHERE NOT list_has_any(has, barred) AND CASE op WHEN 'and' THEN list_has_all(has, wanted) ELSE list_has_any(has, wanted) END
+), {measures})"""
+
+
+@query(_judged_sql() + MEASURED.replace("measured", "judged_measured"))
+def judged_metrics(fx):
+    """Every method against a gold independent of the engine: what follows the texts exactly loses precision and recall too."""
+    return _rounded(metrics.evaluate(_union(results(fx).values()), fx.queries, fx.judged))
+
+
+@query(_judged_sql() + " SELECT m.method, qid, template, gold_size, gold_size - coalesce(hits, 0) AS total_misses, gold_size - coalesce(inside, 0) AS candidate_miss, least(100, coalesce(inside, 0)) - coalesce(hits, 0) AS avoidable_ranking_miss, coalesce(inside, 0) - least(100, coalesce(inside, 0)) AS structural_cutoff_miss FROM (SELECT DISTINCT method FROM results) m CROSS JOIN judged_descr LEFT JOIN (SELECT method, qid, count(*) AS inside, count(*) FILTER (WHERE rank <= 100) AS hits FROM results SEMI JOIN judged_exact USING (qid, ordinal) GROUP BY ALL) x USING (method, qid)")
+def judged_errors(fx):
+    """Where each method loses the judged documents."""
+    return metrics.ranking_errors(_union(results(fx).values()), fx.queries, fx.judged, FINAL)
+
+
 @query(MEASURED + " WHERE family = 'bm25'")
 def method_bm25(fx):
     return _rounded(metrics.evaluate(results(fx)["bm25"], fx.queries, fx.qrels))
