@@ -63,6 +63,23 @@ def test_draws_do_not_depend_on_the_chunk(monkeypatch):
     assert np.round(whole[:3], 6).tolist() == FIXED
 
 
+def test_draws_over_tasks_are_those_of_one_generator(spark):
+    """Strata of sizes that reject numbers of the generator, in any step, and comparisons of unlike shapes."""
+    rng = np.random.default_rng(3)
+    rows = [(t, m, str(q), f"s{q * q % k}", float(rng.normal())) for t, k in (("a", 3), ("b", 3), ("c", 5)) for m in ("x", "y") for q in range(40 + (t == "b"))]
+    deltas = spark.createDataFrame(rows, "treatment string, metric string, qid string, template string, delta double").repartition(5)
+    for draws, step in ((101, 7), (101, 1), (20, 500)):
+        got = {(r.treatment, r.metric): r for r in bootstrap.bootstrap(deltas, draws, 11, step=step).collect()}
+        assert len(got) == 6
+        for (t, m), r in got.items():
+            own = [x for x in rows if x[:2] == (t, m)]
+            means = bootstrap.resampled_means(np.array([x[4] for x in own]), np.array([x[3] for x in own]), draws, 11)
+            assert np.allclose([r.ci_low, r.ci_high], np.quantile(means, [0.025, 0.975]), rtol=0, atol=1e-15)
+            assert r.probability_positive == (means > 0).mean() and abs(r.delta - np.mean([x[4] for x in own])) < 1e-12
+    with pytest.raises(ValueError):
+        bootstrap.bootstrap(deltas, 10, step=0)
+
+
 #: Means of the first draws that single choices give with seed 2.
 FIXED = [4.2, 6.0, 3.8]
 
