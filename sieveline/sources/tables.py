@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: What deletes each written table that is left; and, by thread, the tables it wrote, in order: queries may run side by side.
+_left: dict[str, Callable[[], None]] = {}
+_own = threading.local()
+
+
+def _mine() -> list[str]:
+    if not hasattr(_own, "paths"):
+        _own.paths = []
+    return _own.paths
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,31 +54,38 @@ def written(df: DataFrame, files: int | None = None) -> DataFrame:
     df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _left[path] = _deleter(spark, path)
+    _mine().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many tables are written now; see only_last."""
-    return len(_written)
+    """How many tables this thread has written and not deleted; see only_last."""
+    return len(_mine())
 
 
 def only_last(since: int) -> None:
-    """Delete the tables written after mark() gave ``since``, but for the last, which was made from them."""
-    for spark, path in _written[since:-1]:
-        _delete(spark, path)
-    del _written[since:-1]
+    """Delete the tables this thread wrote after mark() gave ``since``, but for the last, which was made from them."""
+    for path in _mine()[since:-1]:
+        _left.pop(path)()
+    del _mine()[since:-1]
+
+
+def _deleter(spark: SparkSession, path: str) -> Callable[[], None]:
+    """Deletes the path, also when the session has been stopped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
+    def delete() -> None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return delete
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for delete in _left.values():
         try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; its folder goes with the cluster's job
-            return
+            delete()
+        except Exception as failed:  # noqa: BLE001  one table that cannot be deleted must not keep the others
+            logging.getLogger(__name__).warning("a written table stays: %s", failed)
