@@ -67,7 +67,9 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidate
         if not outside(results, candidates).isEmpty():
             raise ValueError("a ranking has documents outside the candidates")
         whole = candidates.select("qid", "ordinal").distinct().join(qrels.select("qid", "ordinal", F.lit(1).alias("gold")).distinct(), ["qid", "ordinal"], "left")
-        sums = sums.drop("found", "candidate_size").join(whole.groupBy("qid").agg(F.count("gold").alias("found"), F.count("*").alias("candidate_size")), "qid")
+        # of the query, not of the method: a method that ranks nothing had the same candidates
+        base = base.join(whole.groupBy("qid").agg(F.count("gold").alias("found"), F.count("*").alias("candidate_size")), "qid", "left")
+        sums = sums.drop("found", "candidate_size")
     rows = base.join(sums, ["method", "qid"], "left").na.fill(0)
     gold, found, size = F.col("gold_size"), F.col("found"), F.col("candidate_size")
     precision, recall = _ratio(found, size), found / gold

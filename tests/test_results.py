@@ -105,6 +105,16 @@ def test_candidates_of_all_methods(spark):
         metrics.evaluate(results_, queries, qrels, pool.where("ordinal <> 9"))
 
 
+def test_a_method_that_ranks_nothing_had_the_same_candidates(spark):
+    results_, queries, qrels = _one(spark, [1, 9])
+    queries = queries.unionByName(queries.withColumn("qid", F.lit("1")))
+    qrels = qrels.unionByName(qrels.withColumn("qid", F.lit("1")))
+    pool = spark.createDataFrame([(q, d) for q in "01" for d in (1, 2, 9, 10)], "qid string, ordinal long")
+    rows = {r.qid: r for r in metrics.evaluate(results_, queries, qrels, pool).collect()}
+    assert (rows["1"].candidate_size, rows["1"].candidate_recall, rows["1"].candidate_precision) == (4, 1.0, 0.5)
+    assert (rows["1"].retrieved_size, rows["1"].recall_at_5) == (0, 0.0)
+
+
 def test_raw_rows_and_ids(spark):
     rows = [
         ("0", "q", ["a"], 1, ("t", ["x"])), ("1", "", ["a", "a"], 2, ("t", ["x"])), ("1", "q", None, None, ("t", [""])), ("x", "q", ["a", None], 3, (None, None)),
