@@ -1,18 +1,10 @@
 """BM25 over a corpus (ordinal, text): index tables, scores and top-k with corpus-order ties.
 
-``scores`` scores every document that has a query term. ``search`` finds the same
-top-k from bounds:
-
-* terms that most documents have (``DENSE``) are kept by blocks, which are documents of
-  about one length in one range of the corpus, with the highest and the lowest impact
-  of the term in the block. Their sum bounds the dense part of a document's score from
-  both sides, without looking at the document. Queries with the same dense terms share it;
-* the blocks' lower bounds, and the partial scores of documents with the rarest terms of
-  the query, give a first threshold: k documents reach it;
-* other terms are asked from the rarest on, until the terms left cannot lift a document
-  without the others to the threshold. Documents met are kept while their partial score
-  and the bounds of their block reach it, which the partial scores have raised by then;
-* blocks whose bound reaches it are opened. What is kept is scored in full.
+``scores`` scores every document that has a query term. ``search`` finds the top-k of
+the same scores. In both, postings of asked terms are dealt by document into shards and
+queries into blocks; each pair of a shard and a block is one group, which scores its
+documents by adding up postings, term by term in query order. No pair of a query and a
+document is shuffled for that: of a search, a group gives the first k of its own only.
 
 Zero scores are kept implicit: a query that has fewer than k scored documents is
 filled from the first other documents in corpus order, which is where zero scores
@@ -23,20 +15,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.ordinals import with_ordinals
-from ..sources.tables import written
+from ..sources.tables import ship, written
 
 TIE_BREAKS = ("corpus_ordinal",)
-#: A term is dense if more than one document in so many has it; documents a range of the corpus, and ranges at most.
-DENSE, RANGE, RANGES = 2, 512, 128
-#: Lengths below FINE are a class each, longer ones by steps of this ratio.
-FINE, RATIO = 64, 1.05
-#: Postings of a query's rarest terms that the first threshold is taken from, for each place asked; allowances for rounding, in sums and to 9 decimals.
-SEED, SLACK, SAME, GRAIN = 4, 1e-6, 1e-12, 2e-9
+#: Queries of a block, postings of a shard in a search, and where all scores are given, whose groups give a row for each document and query.
+BLOCK, POSTINGS, FEW = 512, 1 << 19, 1 << 15
+#: Terms that are broadcast at most.
+BROADCAST = 1 << 17
+#: Groups are dealt over at most so many tasks.
+TASKS = 4096
+#: Scores nearer than this can be equal at 9 decimals.
+GRAIN = 2e-9
 
 
 def ordered_sum(pos: str, value: Column) -> Column:
@@ -48,32 +44,12 @@ def ordered_sum(pos: str, value: Column) -> Column:
 @dataclass(frozen=True)
 class Index:
     tf: DataFrame  # ordinal, dl, term, tf
-    idf: DataFrame  # term, df, raw_idf, idf, most: the highest impact of the term
-    stats: DataFrame  # n_docs, avgdl, average_idf, vocabulary, first, width: one row; the last two make ranges of the corpus
+    idf: DataFrame  # term, df, raw_idf, idf
+    stats: DataFrame  # n_docs, avgdl, average_idf, vocabulary: one row
     docs: DataFrame  # ordinal, dl
-    tops: DataFrame  # term, block, n, most, least of dense terms
-    blocks: DataFrame  # block, size, low, high: documents and their first and last ordinal
     k1: float
     b: float
 
-    def impact(self) -> Column:
-        """What a posting contributes by unit of idf and query frequency, given avgdl."""
-        return (F.col("tf") * (self.k1 + 1)) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-
-    def postings(self) -> DataFrame:
-        """tf with avgdl, and first and width of stats."""
-        return self.tf.crossJoin(F.broadcast(self.stats.select("avgdl", "first", "width")))
-
-    def placed(self) -> DataFrame:
-        """ordinal, block."""
-        return self.docs.crossJoin(F.broadcast(self.stats.select("first", "width"))).select("ordinal", block().alias("block"))
-
-
-def block() -> Column:
-    """The block of a document, from its dl and ordinal and the ranges of the corpus."""
-    kind = F.when(F.col("dl") < FINE, F.col("dl")).otherwise(FINE + F.floor(F.log(F.col("dl") / FINE) / F.log(F.lit(RATIO))))
-    return (kind * RANGES + F.floor((F.col("ordinal") - F.col("first")) / F.col("width"))).cast("long")
-
 
 def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Index:
     """Written index tables. Negative raw idf is replaced by epsilon times the mean raw idf of the vocabulary; zero stays."""
@@ -89,20 +65,10 @@ def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25, k1
 
 
 def opened(tf: DataFrame, docs: DataFrame, idf: DataFrame, k1: float = 1.5, b: float = 0.75) -> Index:
-    """The index of postings (ordinal, dl, term, tf), documents (ordinal, dl) and terms (term, df, raw_idf, idf) that are written already: adds the bounds."""
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
-    ranges = F.greatest(F.lit(1), F.least(F.lit(RANGES), F.floor(F.col("n_docs") / RANGE)))
-    width = F.floor((F.col("last") - F.col("first")) / ranges) + 1
+    """The index of postings (ordinal, dl, term, tf), documents (ordinal, dl) and terms (term, df, raw_idf, idf) that are written already."""
+    size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     mean = idf.agg(F.avg("raw_idf").alias("average_idf"), F.count("*").alias("vocabulary"))
-    stats = written(size.withColumn("width", width).drop("last").crossJoin(mean), 1)
-    bare = Index(tf, idf, stats, docs, idf, idf, k1, b)
-    most = bare.postings().groupBy("term").agg(F.max(bare.impact()).alias("most"))
-    full = written(idf.join(most, "term"))
-    dense = full.crossJoin(F.broadcast(stats.select("n_docs"))).where(F.col("df") * DENSE > F.col("n_docs")).select("term")
-    # there are at most DENSE times as many dense terms as a document has different terms on the mean
-    tops = bare.postings().join(F.broadcast(dense), "term").groupBy("term", block().alias("block")).agg(F.count("*").alias("n"), F.max(bare.impact()).alias("most"), F.min(bare.impact()).alias("least"))
-    blocks = docs.crossJoin(F.broadcast(stats.select("first", "width"))).groupBy(block().alias("block")).agg(F.count("*").alias("size"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
-    return Index(tf, full, stats, docs, written(tops), written(blocks), k1, b)
+    return Index(tf, written(idf), written(size.crossJoin(mean), 1), docs, k1, b)
 
 
 def query_terms(queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
@@ -110,17 +76,71 @@ def query_terms(queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
     return queries.select("qid", F.posexplode(tokens("text", tokenizer)).alias("pos", "term")).groupBy("qid", "term").agg(F.min("pos").alias("pos"), F.count("*").alias("qf"))
 
 
-def _summed(index: Index, met: DataFrame) -> DataFrame:
-    """qid, ordinal, score of postings met by query terms."""
-    norm = index.k1 * (1 - index.b + index.b * F.col("dl") / F.col("avgdl"))
-    part = F.col("idf") * F.col("qf") * (F.col("tf") * (index.k1 + 1)) / (F.col("tf") + norm)
-    return met.groupBy("qid", "ordinal").agg(ordered_sum("pos", part).alias("score"))
+def few(rows: DataFrame) -> DataFrame:
+    """For a join with all postings, which then stay where they are: rows to be broadcast, if there are few. They are counted first; more meet by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
+def _first(score: np.ndarray, k: int) -> np.ndarray:
+    """Places, in corpus order, of what can be among the first k: as good as the kth at 9 decimals, but of equal scores the first k only."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - GRAIN)
+    near = near[np.argsort(-score[near], kind="stable")]
+    at = np.arange(len(near))
+    begins = np.maximum.accumulate(np.where(np.diff(score[near], prepend=np.inf) != 0, at, 0))
+    return np.sort(near[at - begins < k])
+
+
+def _scorer(avgdl: float, k1: float, b: float, k: int | None):
+    """Scores of one group: postings (ordinal, dl, term, tf) and query terms (qid, pos, term, weight), terms by number; a row a query, its documents in arrays."""
+
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("term", kind="stable")
+        docs, place = np.unique(held["ordinal"].to_numpy(), return_inverse=True)
+        tf, term = held["tf"].to_numpy(), held["term"].to_numpy()
+        over, under = tf * (k1 + 1), tf + k1 * (1 - b + b * held["dl"].to_numpy() / avgdl)
+        out = []
+        for qid, own in asked.sort_values(["qid", "pos"]).groupby("qid", sort=False):
+            score, met = np.zeros(len(docs)), np.zeros(len(docs), bool)
+            for t, weight in zip(own["term"], own["weight"], strict=True):
+                at = slice(*np.searchsorted(term, [t, t + 1]))
+                # a document has a term once, so no place is there twice
+                score[place[at]] += weight * over[at] / under[at]
+                met[place[at]] = True
+            found = np.flatnonzero(met)
+            found = found if k is None else found[_first(score[found], k)]
+            if len(found):
+                out.append((qid, docs[found], score[found]))
+        return pd.DataFrame(out, columns=["qid", "ordinal", "score"])
+
+    return run
+
+
+def _scored(index: Index, queries: DataFrame, tokenizer: str, k: int | None = None) -> DataFrame:
+    """qid, ordinal, score of documents that have a query term; with k, at least those that can be among the first k of their query."""
+    ship(index.tf.sparkSession)
+    terms = written(query_terms(queries, tokenizer).join(index.idf.select("term", "df", "idf"), "term").select("qid", "pos", "term", "df", (F.col("idf") * F.col("qf")).alias("weight")))
+    names = written(with_ordinals(terms.select("term", "df").distinct(), "term").withColumnRenamed("ordinal", "number"))
+    asked = written(with_ordinals(terms.select("qid").distinct(), "qid").select("qid", F.floor(F.col("ordinal") / BLOCK).cast("int").alias("block")))
+    avgdl = index.stats.first()["avgdl"]
+    shards = max(1, -(-(names.agg(F.sum("df")).first()[0] or 0) // (POSTINGS if k else FEW)))
+    blocks = (asked.agg(F.max("block")).first()[0] or 0) + 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = names.select("term", "number")
+    held = index.tf.join(few(known), "term").select(F.pmod(F.xxhash64("ordinal"), F.lit(shards)).cast("int").alias("shard"), "ordinal", "dl", F.col("number").alias("term"), "tf")
+    held = held.select(each(blocks).alias("block"), *held.columns)
+    wanted = terms.join(known, "term").join(asked, "qid").select(each(shards).alias("shard"), "block", "qid", "pos", F.col("number").alias("term"), "weight")
+    # a number of partitions, or the few rows, which are much work, would be put together in few tasks
+    tasks = min(shards * blocks, TASKS)
+    groups = (df.repartition(tasks, "shard", "block").groupBy("shard", "block") for df in (held, wanted))
+    rows = next(groups).cogroup(next(groups)).applyInPandas(_scorer(avgdl, index.k1, index.b, k), "qid string, ordinal array<long>, score array<double>")
+    return rows.select("qid", F.inline(F.arrays_zip("ordinal", "score")))
 
 
 def scores(index: Index, queries: DataFrame, tokenizer: str = "regex") -> DataFrame:
     """qid, ordinal, score of documents that have a query term."""
-    terms = query_terms(queries, tokenizer).join(index.idf.select("term", "idf"), "term")
-    return _summed(index, terms.join(index.postings(), "term"))
+    return _scored(index, queries, tokenizer)
 
 
 def _checked(k: int, tie_break: str) -> None:
@@ -170,79 +190,9 @@ def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int, tie_br
     return out.withColumn("rank", F.row_number().over(_order())).where(F.col("rank") <= k)
 
 
-def _kth(rows: DataFrame, value: str, k: int) -> DataFrame:
-    """qid, kth: the kth highest value of each query that has so many rows."""
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(value)))
-    best = rows.select("qid", value).withColumn("place", place).where(F.col("place") <= k)
-    return best.groupBy("qid").agg(F.count("*").alias("n"), F.min(value).alias("kth")).where(F.col("n") == k).select("qid", "kth")
-
-
-def _signed(index: Index, queries: DataFrame, tokenizer: str) -> DataFrame:
-    """The known terms of the queries, a written table; signature is one for all queries with the same dense terms."""
-    known = query_terms(queries, tokenizer).join(index.idf.select("term", "df", "idf", "most"), "term").crossJoin(F.broadcast(index.stats.select("n_docs")))
-    weight, dense = F.col("idf") * F.col("qf"), F.col("df") * DENSE > F.col("n_docs")
-    own = F.array_sort(F.collect_list(F.when(dense, F.struct("term", "qf"))).over(Window.partitionBy("qid")))
-    return written(known.select("qid", F.sha2(F.to_json(own), 256).alias("signature"), "term", "pos", "qf", "df", "idf", weight.alias("weight"), (weight * F.col("most")).alias("bound"), dense.alias("dense")))
-
-
-def _board(index: Index, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(signature, block, size, low, high, upper, lower), a written table, and (signature, reach, tied, peak).
-
-    reach: what k documents have by the blocks' lower bounds, null if fewer are sure;
-    tied: the last ordinal of the blocks just at reach that it takes; peak: the highest
-    upper bound.
-    """
-    shared = terms.where("dense").select("signature", "term", "weight").distinct()
-    sums = shared.join(index.tops, "term").join(index.blocks, "block").groupBy("signature", "block", "size", "low", "high").agg(
-        F.sum(F.col("weight") * F.col("most")).alias("upper"), F.sum(F.when(F.col("n") == F.col("size"), F.col("weight") * F.col("least")).otherwise(0.0)).alias("lower")
-    )
-    board = written(sums)
-    order = Window.partitionBy("signature").orderBy(F.desc("lower"), "low", "block")
-    ahead = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    needed = board.withColumn("ahead", ahead).withColumn("peak", F.max("upper").over(Window.partitionBy("signature"))).where(F.col("ahead") < k)
-    sure = needed.groupBy("signature", "peak").agg(F.sum("size").alias("docs"), F.min("lower").alias("least"), F.collect_list(F.struct("lower", "high")).alias("ends"))
-    tied = F.array_max(F.transform(F.filter("ends", lambda x: x["lower"] <= F.col("least") + GRAIN), lambda x: x["high"]))
-    return board, sure.select("signature", "peak", F.when(F.col("docs") >= k, F.col("least")).alias("reach"), tied.alias("tied"))
-
-
-def candidates(index: Index, queries: DataFrame, k: int, tokenizer: str = "regex") -> tuple[DataFrame, DataFrame]:
-    """(qid, ordinal) of the documents that can be among the first k, and the terms of the queries."""
-    terms = _signed(index, queries, tokenizer)
-    board, sure = _board(index, terms, k)
-    impacts = index.postings().select("ordinal", block().alias("block"), "term", index.impact().alias("impact"))
-
-    def partial(chosen: DataFrame) -> DataFrame:
-        """qid, ordinal, partial, and the bounds of the dense rest."""
-        sums = chosen.select("qid", "signature", "term", "weight").join(impacts, "term").groupBy("qid", "signature", "ordinal", "block").agg(F.sum(F.col("weight") * F.col("impact")).alias("partial"))
-        return sums.join(board.select("signature", "block", "upper", "lower"), ["signature", "block"], "left").na.fill(0.0, ["upper", "lower"])
-
-    rare = terms.where("not dense")
-    before = F.coalesce(F.sum("df").over(Window.partitionBy("qid").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeds = rare.withColumn("before", before).where(F.col("before") < SEED * k)
-    first = _kth(partial(seeds).withColumn("least", F.col("partial") + F.col("lower")), "least", k)
-    plan = terms.select("qid", "signature").distinct().join(sure, "signature", "left").na.fill(0.0, ["peak"]).join(first, "qid", "left")
-    plan = written(plan.select("qid", "signature", "peak", "reach", "tied", F.greatest("reach", "kth").alias("least")))
-    upto = F.sum("bound").over(Window.partitionBy("qid").orderBy(F.desc("df"), "term"))
-    needed = F.col("least").isNull() | (F.col("upto") + F.col("peak") + SLACK >= F.col("least"))
-    asked = rare.withColumn("upto", upto).join(plan.select("qid", "peak", "least"), "qid").withColumn("needed", needed)
-    # what the terms that are not asked can add at most
-    asked = asked.withColumn("spare", F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))).over(Window.partitionBy("qid")), F.lit(0.0)))
-    reaches = lambda most: F.col("least").isNull() | (most + SLACK >= F.col("least"))
-    limits = asked.groupBy("qid").agg(F.first("least").alias("least"), F.first("spare").alias("spare"))
-    most = F.col("partial") + F.col("upper") + F.col("spare")
-    met = written(partial(asked.where("needed")).join(limits, "qid").where(reaches(most)).select("qid", "ordinal", (F.col("partial") + F.col("lower")).alias("least"), most.alias("most")))
-    plan = written(plan.join(_kth(met, "least", k), "qid", "left").withColumn("least", F.greatest("least", "kth")))
-    kept = met.drop("least").join(plan.select("qid", "least"), "qid").where(reaches(F.col("most"))).select("qid", "ordinal")
-    late = (F.abs(F.col("upper") - F.col("reach")) <= SAME) & (F.col("low") > F.col("tied"))
-    open_ = plan.join(board, "signature").where(reaches(F.col("upper")) & ~F.coalesce(late, F.lit(False))).select("qid", "block")
-    return kept.unionByName(open_.join(index.placed(), "block").select("qid", "ordinal")).distinct(), terms
-
-
 def search(index: Index, queries: DataFrame, k: int, tokenizer: str = "regex", tie_break: str = "corpus_ordinal") -> DataFrame:
-    """The top_k of scores, from the documents that can be in it."""
+    """The top_k of scores, from the first k of every shard of the corpus."""
     _checked(k, tie_break)
     if (index.idf.agg(F.min("idf")).first()[0] or 0) < 0:  # in a tiny corpus a common term can count against a document
         return top_k(written(scores(index, queries, tokenizer)), queries, index.docs, k, tie_break)
-    reach, terms = candidates(index, queries, k, tokenizer)
-    met = reach.join(terms.select("qid", "term", "pos", "qf", "idf"), "qid").join(index.postings(), ["ordinal", "term"])
-    return top_k(written(_summed(index, met)), queries, index.docs, k, tie_break)
+    return top_k(written(_scored(index, queries, tokenizer, k)), queries, index.docs, k, tie_break)

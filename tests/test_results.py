@@ -31,6 +31,21 @@ def test_search_is_the_top_k_of_all_scores(spark):
         assert key(found) == key(whole) and found.count() == k * len(asked)
 
 
+def test_equal_scores_add_no_rows_to_what_a_search_shuffles(spark, monkeypatch):
+    """Half of the documents have the same words; the first k of a shard are all that leaves it, and blocks and shards change no row."""
+    docs = [(i, "same words" if i % 2 else f"other w{i}") for i in range(600)]
+    corpus, asked = spark.createDataFrame(docs, "ordinal long, text string"), spark.createDataFrame([("a", "same words"), ("b", "other w2 same"), ("c", "w4")], "qid string, text string")
+    index = bm25.build(corpus)
+    assert bm25._scored(index, asked, "regex", 5).where("qid = 'a'").count() == 5
+    key = lambda: sorted(tuple(r) for r in bm25.search(index, asked, 5).collect())
+    one = key()
+    assert [r[1] for r in one if r[0] == "a"] == [1, 3, 5, 7, 9] and sum(r[0] == "c" for r in one) == 5
+    monkeypatch.setattr(bm25, "POSTINGS", 100)
+    monkeypatch.setattr(bm25, "BLOCK", 2)
+    monkeypatch.setattr(bm25, "BROADCAST", 1)
+    assert key() == one
+
+
 def test_unscored_documents_fill_in_corpus_order(spark):
     docs = spark.createDataFrame([(i * 3,) for i in range(20)], "ordinal long")
     scored = spark.createDataFrame([("a", 0, 1.0), ("a", 9, 1.0), ("a", 57, -1.0)], "qid string, ordinal long, score double")
