@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators import bm25, fusion, metrics, passages
-from sieveline.sources.tables import written
+from sieveline.sources.tables import drop, mark, written
 
 log = logging.getLogger("passage_report")
 REPORT = ("recall_at_5", "recall_at_20", "recall_at_100", "norm_recall_at_100", "ndcg_at_5", "ndcg_at_20", "ndcg_at_100", "candidate_recall")
@@ -51,8 +51,10 @@ class Config:
 
 
 def _texts(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with id and text; of one id the least text. Only the texts of ids that are there more than once are brought together."""
     known = df.select(F.col(key).cast("long").alias(name), F.col("text").cast("string").alias("text")).where(f"{name} is not null and text is not null")
-    return known.groupBy(name).agg(F.min("text").alias("text"))
+    twice = bm25.few(written(known.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name)))
+    return known.join(twice, name, "left_anti").unionByName(known.join(twice, name, "left_semi").groupBy(name).agg(F.min("text").alias("text")))
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
@@ -60,7 +62,15 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def run(spark: SparkSession, documents: str, items: str, out: str, config: Config = Config()) -> dict[str, int]:
-    """Write run, gold and report below out; rows read and written."""
+    """Write run, gold and report below out; rows read and written. Tables on the way there are deleted at the end."""
+    since = mark()
+    try:
+        return _run(spark, documents, items, out, config)
+    finally:
+        drop(since)
+
+
+def _run(spark: SparkSession, documents: str, items: str, out: str, config: Config) -> dict[str, int]:
     corpus = written(_texts(spark.read.parquet(documents), "doc_id", "ordinal"))
     asked = written(_texts(spark.read.parquet(items), "item_id", "qid").select(F.col("qid").cast("string").alias("qid"), "text"))
     counts = {"documents": corpus.count(), "passages": asked.count()}

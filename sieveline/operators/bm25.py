@@ -54,7 +54,9 @@ class Index:
 def build(corpus: DataFrame, tokenizer: str = "regex", epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Index:
     """Written index tables. Negative raw idf is replaced by epsilon times the mean raw idf of the vocabulary; zero stays."""
     split = corpus.select("ordinal", tokens("text", tokenizer).alias("tokens")).withColumn("dl", F.size("tokens"))
-    tf = written(split.select("ordinal", "dl", F.explode("tokens").alias("term")).groupBy("ordinal", "dl", "term").agg(F.count("*").alias("tf")))
+    # texts are dealt by document before they are split, for their postings are several times as large
+    dealt = corpus.select("ordinal", "text").repartition("ordinal").select("ordinal", tokens("text", tokenizer).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tf = written(dealt.select("ordinal", "dl", F.explode("tokens").alias("term")).groupBy("ordinal", "dl", "term").agg(F.count("*").alias("tf")))
     docs = written(split.select("ordinal", "dl"))
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .bm25 import Index, query_terms
+from ..sources.tables import written
+from .bm25 import Index, few, query_terms
 
 
 def _phrase(text: str, tokenizer: str) -> Column:
@@ -23,6 +24,7 @@ def containing(index: Index, corpus: DataFrame, passages: DataFrame, tokenizer:
     """
     terms = query_terms(passages, tokenizer).join(index.idf.select("term", "df"), "term", "left").na.fill(0, ["df"])
     rarest = terms.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("r")).where("r.df > 0").select("qid", "r.term")
-    open_ = rarest.join(index.tf.select("ordinal", "term"), "term").select("qid", "ordinal").distinct()
-    texts = open_.join(corpus.select("ordinal", F.col("text").alias("document")), "ordinal").join(passages.select("qid", "text"), "qid")
-    return texts.where(F.contains(_phrase("document", tokenizer), _phrase("text", tokenizer))).select("qid", "ordinal").distinct()
+    open_ = few(written(rarest)).join(index.tf.select("ordinal", "term"), "term").join(passages.select("qid", _phrase("text", tokenizer).alias("phrase")), "qid").select("ordinal", "qid", "phrase")
+    # a document's text goes to its own number once, however many passages are looked for in it
+    texts = corpus.select("ordinal", _phrase("text", tokenizer).alias("document"))
+    return open_.join(texts, "ordinal").where(F.contains("document", "phrase")).select("qid", "ordinal").distinct()

@@ -71,6 +71,13 @@ def only_last(since: int) -> None:
     del _mine()[since:-1]
 
 
+def drop(since: int) -> None:
+    """Delete the tables this thread wrote after mark() gave ``since``: nothing reads them any more."""
+    for path in _mine()[since:]:
+        _left.pop(path)()
+    del _mine()[since:]
+
+
 def _deleter(spark: SparkSession, path: str) -> Callable[[], None]:
     """Deletes the path, also when the session has been stopped."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

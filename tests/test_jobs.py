@@ -12,6 +12,7 @@ import pytest
 
 from jobs import grow_index, passage_report
 from sieveline.operators import bm25, passages
+from sieveline.sources.tables import shared_dir
 
 ROOT = Path(__file__).resolve().parents[1]
 DOCS = "doc_id long, text string, lang string, rank int, term string"
@@ -157,3 +158,15 @@ def test_command_lines(spark, tmp_path, job):
     assert done.returncode == 0, done.stderr[-2000:]
     assert json.loads(done.stdout.strip().splitlines()[-1])["documents"] == 30
     assert re.search(r"(wrote|read) \d+", done.stderr)
+
+
+def test_a_report_leaves_no_tables_on_its_way(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three"), (1, "a one two"), (2, "two three four"), (2, "two three four"), (None, "one two")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(5, "one two"), (6, "three four"), (6, "two three")], "item_id long, text string").write.parquet(str(tmp_path / "p"))
+    left = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("table-*"))
+    before = left()
+    counts = passage_report.run(spark, str(tmp_path / "d"), str(tmp_path / "p"), str(tmp_path / "out"), passage_report.Config(pool_k=2, final_k=1))
+    assert left() == before
+    assert (counts["documents"], counts["passages"]) == (2, 2)
+    gold = spark.read.parquet(str(tmp_path / "out" / "gold")).select("qid", "doc_id").collect()
+    assert sorted(tuple(r) for r in gold) == [("5", 1), ("6", 2)]
