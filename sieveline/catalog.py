@@ -61,7 +61,8 @@ class Fixture:
         return written(own.join(names, "ordinal").select("ordinal", "doc_id", F.concat("doc_id", F.lit(" likes "), F.array_join("attrs", ", "), F.lit(".")).alias("text"), "attrs"))
 
     @cached_property
-    def queries(self) -> DataFrame:
+    def planned(self) -> tuple[DataFrame, DataFrame]:
+        """The queries and what they find. Plans are executed once: the queries are those that find something."""
         ranked = written(with_ordinals(self.facts.select("attr").distinct(), "attr").select("attr", F.col("ordinal").alias("r")))
         n = ranked.count()
 
@@ -88,15 +89,20 @@ class Fixture:
             out = out.unionByName(p)
         out = out.select((F.col("t") * 1000 + F.col("r")).cast("string").alias("qid"), (F.col("t") * 1000 + F.col("r")).cast("long").alias("ordinal"), templates.render().alias("text"), "template", "attrs")
         # a rotation of NOT can be empty; queries without gold are no queries
-        return written(out.join(boolean.execute(templates.atoms(out), self.facts).select("qid").distinct(), "qid", "left_semi"))
+        exact = written(boolean.execute(templates.atoms(out), self.facts))
+        return written(out.join(exact.select("qid").distinct(), "qid", "left_semi")), exact
+
+    @property
+    def queries(self) -> DataFrame:
+        return self.planned[0]
 
     @cached_property
     def atoms(self) -> DataFrame:
         return written(templates.atoms(self.queries))
 
-    @cached_property
+    @property
     def exact(self) -> DataFrame:
-        return written(boolean.execute(self.atoms, self.facts))
+        return self.planned[1]
 
     @property
     def qrels(self) -> DataFrame:

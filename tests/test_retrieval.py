@@ -186,6 +186,16 @@ def test_catalog_equals_its_sql(spark, name):
     assert sorted(plain(want)) == sorted(plain(got))
 
 
+def test_plans_are_executed_once(spark, monkeypatch):
+    calls, execute = [], catalog.boolean.execute
+    monkeypatch.setattr(catalog.boolean, "execute", lambda *a: calls.append(a) or execute(*a))
+    fx = catalog.Fixture(spark, "/root/testdata/sf0.001")
+    asked, exact = fx.queries, fx.exact
+    assert len(calls) == 1
+    assert exact.count() and sorted(exact.collect()) == sorted(execute(fx.atoms, fx.facts).collect())
+    assert {r.qid for r in asked.collect()} == {r.qid for r in exact.collect()}
+
+
 def test_errors_count_a_repeated_document_once_and_refuse_outsiders(spark):
     queries = spark.createDataFrame([("q", "_", ["a"])], "qid string, template string, attrs array<string>")
     qrels = spark.createDataFrame([("q", 1), ("q", 2)], "qid string, ordinal long")
