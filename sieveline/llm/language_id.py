@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: dict, parts: int = PARTS, held: int = HELD)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = documents(docs).withColumn("held_out", fold(F.col("doc_id"), parts) == held)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(K.released(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def told_rows(docs: DataFrame, model: dict) -> DataFrame:
@@ -175,7 +175,7 @@ def told_rows(docs: DataFrame, model: dict) -> DataFrame:
                 keep = [any(c.isalpha() for c in t.as_py() or "") for t in text]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return packed.mapInArrow(run, schema).select("row.*")
+    return packed.mapInArrow(K.released(run), schema).select("row.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:

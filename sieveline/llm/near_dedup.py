@@ -124,7 +124,7 @@ def _partnered(lists: DataFrame, hubs: DataFrame, texts: DataFrame, reps: DataFr
     list still compares and the hubs, so the bound is exact.
     """
     open_nodes = lists.select("node").union(hubs.select("node")).distinct()
-    rows = _texts(texts, reps, open_nodes, files).mapInArrow(_shingle_rows, "node long, g long")
+    rows = _texts(texts, reps, open_nodes, files).mapInArrow(K.released(_shingle_rows), "node long, g long")
     alone = rows.groupBy("g").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     sized = lists.drop("common").join(alone, "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
@@ -203,7 +203,7 @@ def _tested(likely: DataFrame, texts: DataFrame, reps: DataFrame, files: int | N
     likely = cut(likely, files)
     files = 1 + likely.count() // PAIR_ROWS
     needed = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_texts(texts, reps, needed, files).mapInArrow(_sets, "node long, packed binary"))
+    sets = cut(_texts(texts, reps, needed, files).mapInArrow(K.released(_sets), "node long, packed binary"))
     # the set of a goes once to every chunk of its partners, whose sets follow it; few sets have more than a chunk
     chunks = likely.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("chunks"))
     many = cut(chunks.where("chunks > 1"), 1)
@@ -211,7 +211,7 @@ def _tested(likely: DataFrame, texts: DataFrame, reps: DataFrame, files: int | N
     heads = chunks.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>")).alias("chunk")).join(sets.withColumnRenamed("node", "a"), "a")
     partners = likely.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk")).join(sets.withColumnRenamed("node", "b"), "b")
     rows = heads.unionByName(partners).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()).select("a", "b", "packed")
-    return cut(rows.mapInArrow(_confirm, "a long, b long, both long, linked boolean, more_a array<long>, more_b array<long>"), files)
+    return cut(rows.mapInArrow(K.released(_confirm), "a long, b long, both long, linked boolean, more_a array<long>, more_b array<long>"), files)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     docs = documents(docs)
     texts = distinct_texts(docs)
-    sketches = cut(docs.withColumn("tid", F.xxhash64("text")).mapInArrow(_sketch, "doc_id long, tid long, n_shingles long, m1 long, m2 long, sig array<long>"))
+    sketches = cut(docs.withColumn("tid", F.xxhash64("text")).mapInArrow(K.released(_sketch), "doc_id long, tid long, n_shingles long, m1 long, m2 long, sig array<long>"))
     named = sketches.where("doc_id is not null and n_shingles > 0")
     # exact copies: one node for each distinct set, whose text is the first document's
     same = ["n_shingles", "m1", "m2"]

@@ -20,6 +20,7 @@ pieces left from before stay in. A superstep places a piece at least.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,18 +48,25 @@ ROWS, PARTS = 10_000, 10_000
 SWEPT = ["part", "kind", "pid", "length", "gap", "slot", "rank"]
 
 
+@lru_cache(maxsize=2)
+def _exact(json_path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(json_path)
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(json_path: str, ranks_path: str):
     """The ids of a text: those of the tokenizers file, by its ranks where the text has neither a special token's string nor a very long run of white space."""
-    exact = tokenizers.Tokenizer.from_file(json_path)
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(json_path, encoding="utf-8") as lines:
+        head = lines.read()
+    # the file names its special tokens before its model, which few texts need
+    special = [t["content"] for t in json.JSONDecoder().raw_decode(head, head.index("[", head.index('"added_tokens"')))[0]]
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
         if any(s in text for s in special) or (len(text) >= RUN and any(m.end() - m.start() >= RUN for m in SPACE.finditer(text))):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(_exact(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return ids
@@ -179,7 +187,7 @@ def place(pieces: DataFrame, most: int = SEQUENCE) -> DataFrame:
         rows = active.select(F.col("length").alias("value"), F.lit(0).alias("kind"), F.col("pid").alias("id"), F.lit(0).cast("long").alias("slot")).union(wanted)
         total = pieces_now + sum(n * max(1, min(room // longest, bound)) for room, n in rooms.items() if room >= shortest)
         parts, order = min(1 + total // ROWS, PARTS), ["value", "kind", "id", "slot"]
-        swept = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep, "part int, kind int, pid long, length long, gap long, slot long, rank long"))
+        swept = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(K.released(_sweep), "part int, kind int, pid long, length long, gap long, slot long, rank long"))
         left: dict[int, list[int]] = {}
         for r in swept.where("kind < 2").groupBy("part", "kind").agg(F.count("*").alias("n")).collect():
             left.setdefault(r.part, [0, 0])[r.kind] = r.n
@@ -212,6 +220,6 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     """
     prepare(docs.sparkSession)
     run = _pieces(json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), most)
-    made = documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    made = documents(docs).mapInArrow(K.released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = cut(made.withColumn("pid", F.monotonically_increasing_id()))
     return pieces.join(place(pieces.select("pid", "length"), most), "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

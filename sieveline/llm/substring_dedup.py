@@ -189,7 +189,7 @@ def parse(docs: DataFrame) -> DataFrame:
     rows are parsed once.
     """
     texts = distinct_texts(docs)
-    blocks = cut(texts.mapInArrow(_blocks, "anchor long, content long, doc_id long, tid long, start int, n short"))
+    blocks = cut(texts.mapInArrow(K.released(_blocks), "anchor long, content long, doc_id long, tid long, start int, n short"))
     source = F.min(F.struct("doc_id", "start")).alias("s")
     index = cut(blocks.groupBy("anchor", "content").agg(source, F.max("doc_id").alias("last_doc"), F.count("*").alias("rows")).select("anchor", "content", F.col("s.doc_id").alias("source"), F.col("s.start").alias("source_start"), "last_doc", "rows"))
     # an anchor with one block, in one document, concerns nobody else; neither do boundary windows of an anchor with one block
@@ -197,9 +197,9 @@ def parse(docs: DataFrame) -> DataFrame:
     shared = cut(index.join(known, "anchor").select("anchor", "content", "source", "source_start", "boundary", "rows"))
     placed = cut(met(blocks, shared, ["anchor", "content"], HOT).drop("rows"))
     copied = placed.where("doc_id > source").select("doc_id", "tid", "start", "n", "source", "source_start")
-    factors = copied.repartition("doc_id", "tid").sortWithinPartitions("doc_id", "tid", "start").mapInArrow(_factors, FACTORS)
+    factors = copied.repartition("doc_id", "tid").sortWithinPartitions("doc_id", "tid", "start").mapInArrow(K.released(_factors), FACTORS)
     edge = placed.where("doc_id = source and boundary").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    windows = cut(texts.join(edge, ["doc_id", "tid"]).mapInArrow(_boundary_windows, "window long, doc_id long, tid long, start int"))
+    windows = cut(texts.join(edge, ["doc_id", "tid"]).mapInArrow(K.released(_boundary_windows), "window long, doc_id long, tid long, start int"))
     earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("s"), F.max("doc_id").alias("last_doc"), F.count("*").alias("rows")).where("s.doc_id < last_doc")
     earliest = cut(earliest.select("window", F.col("s.doc_id").alias("source"), F.col("s.start").alias("source_start"), "rows"))
     found = met(windows, earliest, ["window"], HOT).where("doc_id > source")
@@ -244,7 +244,7 @@ def _cleaned(docs: DataFrame) -> tuple[DataFrame, str]:
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     rows = packed.withColumn("tid", F.xxhash64("text")).join(spans, (F.col("doc_id") == F.col("i")) & (F.col("tid") == F.col("t")), "left")
     schema = T.StructType([packed.schema["row"], T.StructField("new", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")), T.StructField("kept_sha256", T.StringType())])
-    return rows.select("row", "text", "spans").mapInArrow(_reports(schema.names), schema), "row"
+    return rows.select("row", "text", "spans").mapInArrow(K.released(_reports(schema.names)), schema), "row"
 
 
 def substring_report(docs: DataFrame) -> DataFrame:

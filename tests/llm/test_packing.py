@@ -102,6 +102,21 @@ def test_long_runs_have_the_ids_of_the_named_tokenizer(unit):
         assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_do_not_load_the_named_tokenizer():
+    import tokenizers
+
+    packing._tokenizer.cache_clear(), packing._exact.cache_clear()
+    encode = packing._tokenizer(*packing_paths())
+    exact = tokenizers.Tokenizer.from_file(packing_paths()[0])
+    plain = "Two words, and\n\n some\u3000more's."
+    assert encode(plain).tolist() == exact.encode(plain, add_special_tokens=False).ids
+    assert packing._exact.cache_info().currsize == 0
+    for special in exact.get_added_tokens_decoder().values():
+        text = f"a{special.content}b"
+        assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+    assert packing._exact.cache_info().currsize == 1
+
+
 def packing_paths():
     import public_tokenizers
 
