@@ -87,7 +87,7 @@ class Fixture:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.select((F.col("t") * 1000 + F.col("r")).cast("string").alias("qid"), (F.col("t") * 1000 + F.col("r")).cast("long").alias("ordinal"), templates.render().alias("text"), "template", "attrs")
+        out = written(out.select((F.col("t") * 1000 + F.col("r")).cast("string").alias("qid"), (F.col("t") * 1000 + F.col("r")).cast("long").alias("ordinal"), templates.render().alias("text"), "template", "attrs"))
         # a rotation of NOT can be empty; queries without gold are no queries
         exact = written(boolean.execute(templates.atoms(out), self.facts))
         return written(out.join(exact.select("qid").distinct(), "qid", "left_semi")), exact

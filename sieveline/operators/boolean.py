@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .bm25 import BROADCAST, few
+
 
 def survives() -> Column:
     """Whether hits positives satisfy the plan's operator."""
@@ -12,8 +15,19 @@ def survives() -> Column:
 
 
 def execute(atoms: DataFrame, facts: DataFrame) -> DataFrame:
-    """(qid, ordinal) of every document that satisfies its plan: one join and one grouping for all templates."""
-    met = atoms.join(facts.select("attr", "ordinal"), "attr")
+    """(qid, ordinal) of every document that satisfies its plan: one join and one grouping for all templates.
+
+    Facts are dealt by document before they meet the plans, if these are few: what a
+    document meets is then grouped where it is, and only facts are shuffled. atoms is
+    read more than once.
+    """
+    own = facts.select("attr", "ordinal")
+    if atoms.count() <= BROADCAST:
+        # a number of partitions, or the few facts, which meet many plans, would be put together in few tasks
+        dealt = own.repartition(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ordinal")
+        met = dealt.join(F.broadcast(atoms), "attr")
+    else:
+        met = atoms.join(own, "attr")
     by = met.groupBy("qid", "ordinal").agg(
         F.bool_or("is_negative").alias("negated"), F.count_distinct(F.when(~F.col("is_negative"), F.col("pos"))).alias("hits"),
         F.max("positive_operator").alias("positive_operator"), F.max("n_positive").alias("n_positive"),
@@ -49,6 +63,12 @@ def difference(plans, facts, arity):
 
 
 def oracle_ranking(exact: DataFrame, final_k: int) -> DataFrame:
-    """qid, ordinal, rank: exact sets in corpus order; rank is null beyond final_k."""
+    """qid, ordinal, rank: exact sets, no document twice, in corpus order; rank is null beyond final_k.
+
+    Only the first final_k of each set are sorted; the others are those after its last.
+    """
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("ordinal"))
-    return exact.withColumn("rank", F.when(rank <= final_k, rank))
+    first = written(exact.select("qid", "ordinal", rank.alias("rank")).where(F.col("rank") <= final_k))
+    last = few(first.groupBy("qid").agg(F.max("ordinal").alias("last")))
+    beyond = exact.join(last, "qid").where("ordinal > last").select("qid", "ordinal", F.lit(None).cast("int").alias("rank"))
+    return first.unionByName(beyond)

@@ -207,3 +207,28 @@ def test_errors_count_a_repeated_document_once_and_refuse_outsiders(spark):
     assert (e.total_misses, e.candidate_miss, e.avoidable_ranking_miss, e.structural_cutoff_miss) == (1, 0, 1, 0)
     with pytest.raises(ValueError, match="outside the candidates"):
         metrics.ranking_errors(ranked, queries, qrels, 5, pool.where("ordinal <> 7"))
+
+
+def test_what_plans_find_is_not_shuffled(spark, facts):
+    """Plans that are few go to the facts; a document's facts are together before they meet them."""
+    plans = plan_table(spark, *[(t, a) for t, a, _ in PLANS])
+    found = boolean.execute(templates.atoms(plans), facts)
+    assert {(int(r.qid), r.ordinal) for r in found.collect()} == {(i, d) for i, (_, _, want) in enumerate(PLANS) for d in want}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ordinal" in plan and "hashpartitioning(qid" not in plan
+
+
+def test_many_plans_find_the_same(spark, facts, monkeypatch):
+    atoms = templates.atoms(plan_table(spark, *[(t, a) for t, a, _ in PLANS]))
+    few = sorted(boolean.execute(atoms, facts).collect())
+    monkeypatch.setattr(boolean, "BROADCAST", 0)
+    assert sorted(boolean.execute(atoms, facts).collect()) == few
+
+
+def test_oracle_ranking_sorts_only_what_it_ranks(spark):
+    sets = {"a": [5, 1, 9, 3], "b": [2], "c": [4, 7]}
+    exact = spark.createDataFrame([(q, d) for q, ds in sets.items() for d in ds], "qid string, ordinal long")
+    ranked = boolean.oracle_ranking(exact, 2)
+    assert ranked.columns == ["qid", "ordinal", "rank"] and dict(ranked.dtypes)["rank"] == "int"
+    assert {(r.qid, r.ordinal, r.rank) for r in ranked.collect()} == {("a", 1, 1), ("a", 3, 2), ("a", 5, None), ("a", 9, None), ("b", 2, 1), ("c", 4, 1), ("c", 7, 2)}
+    assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
