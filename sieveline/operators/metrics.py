@@ -23,9 +23,12 @@ def _ideal(k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
 
 
-def described(queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """qid, template, n_atoms, gold_size, gold_size_bin; queries without gold are an error of the caller's and are left out."""
-    gold = qrels.groupBy("qid").agg(F.count_distinct("ordinal").alias("gold_size"))
+def described(queries: DataFrame, qrels: DataFrame, distinct: bool = False) -> DataFrame:
+    """qid, template, n_atoms, gold_size, gold_size_bin; queries without gold are an error of the caller's and are left out.
+
+    distinct: qrels has no row twice, so its rows are counted where they are.
+    """
+    gold = qrels.groupBy("qid").agg((F.count("ordinal") if distinct else F.count_distinct("ordinal")).alias("gold_size"))
     return queries.select("qid", "template", F.size("attrs").alias("n_atoms")).join(gold, "qid").withColumn("gold_size_bin", gold_size_bin("gold_size"))
 
 
@@ -34,11 +37,16 @@ def _each(results: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(results.select(*(keys or ["method"])).distinct()))
 
 
-def distinct_rankings(results: DataFrame) -> DataFrame:
-    """method, qid, ordinal, rank: each document once, at its first rank, ranks renumbered; null ranks stay null."""
-    first = results.groupBy("method", "qid", "ordinal").agg(F.min("rank").alias("first"))
-    place = F.row_number().over(Window.partitionBy("method", "qid").orderBy(F.col("first").asc_nulls_last(), "ordinal"))
-    return first.withColumn("place", place).select("method", "qid", "ordinal", F.when(F.col("first").isNotNull(), F.col("place")).alias("rank"))
+def _marked(results: DataFrame, qrels: DataFrame) -> DataFrame:
+    """method, qid, ordinal, first, hit: each document of a ranking once, at its first rank. Rankings and gold meet by document; nothing else of their size is shuffled."""
+    gold = qrels.select("qid", "ordinal", F.lit(True).alias("hit")).distinct()
+    return results.join(gold, ["qid", "ordinal"], "left").groupBy("method", "qid", "ordinal").agg(F.min("rank").alias("first"), F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+
+
+def _top(marked: DataFrame, k: int) -> DataFrame:
+    """method, qid, rank, hit of the first k documents of every ranking, ranks renumbered; documents without a rank are none of them."""
+    place = F.row_number().over(Window.partitionBy("method", "qid").orderBy("first", "ordinal"))
+    return marked.where("first is not null").select("method", "qid", place.alias("rank"), "hit").where(F.col("rank") <= k)
 
 
 def outside(results: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -46,23 +54,25 @@ def outside(results: DataFrame, candidates: DataFrame) -> DataFrame:
     return results.where("rank is not null").select("method", "qid", "ordinal").join(candidates.select("qid", "ordinal"), ["qid", "ordinal"], "left_anti").select("method", "qid", "ordinal")
 
 
-def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidates: DataFrame | None = None, about: DataFrame | None = None) -> DataFrame:
     """KEYS, METRICS and SIZES of every method and query; results is (method, qid, ordinal, rank).
 
     Driven by all queries, so a query for which a method finds nothing has zeros. A
     document that a ranking repeats counts at its first rank. candidates: (qid, ordinal)
     that all methods chose from, if the rows of results are not all their candidates; a
-    ranked document outside them is an error.
+    ranked document outside them is an error. about: described of the queries and all
+    their gold, if it is at hand; qrels need then have only the gold that results and
+    candidates can have.
     """
-    base = _each(results, described(queries, qrels))
-    marked = distinct_rankings(results).join(qrels.select("qid", "ordinal", F.lit(True).alias("hit")).distinct(), ["qid", "ordinal"], "left")
-    hit, rank = F.coalesce("hit", F.lit(False)), F.col("rank")
-    gain = F.when(hit & rank.isNotNull(), 1 / F.log2(rank + 1))
-    sums = marked.groupBy("method", "qid").agg(
+    base = _each(results, described(queries, qrels) if about is None else about)
+    marked = _marked(results, qrels)
+    hit, rank = F.col("hit"), F.col("rank")
+    gain = F.when(hit, 1 / F.log2(rank + 1))
+    best = _top(marked, 100).groupBy("method", "qid").agg(
         *(F.count_if(hit & (rank <= k)).alias(f"hits_{k}") for k in (5, 20, 100)),
         *(F.aggregate(F.array_sort(F.collect_list(F.when(rank <= k, F.struct(rank.alias("r"), gain.alias("g"))))), F.lit(0.0), lambda a, z: a + F.coalesce(z["g"], F.lit(0.0))).alias(f"dcg_{k}") for k in (5, 20, 100)),
-        F.count_if(hit).alias("found"), F.count("*").alias("candidate_size"), F.count("rank").alias("retrieved_size"),
     )
+    sums = marked.groupBy("method", "qid").agg(F.count_if(hit).alias("found"), F.count("*").alias("candidate_size"), F.count("first").alias("retrieved_size"))
     if candidates is not None:
         if not outside(results, candidates).isEmpty():
             raise ValueError("a ranking has documents outside the candidates")
@@ -70,7 +80,7 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidate
         # of the query, not of the method: a method that ranks nothing had the same candidates
         base = base.join(whole.groupBy("qid").agg(F.count("gold").alias("found"), F.count("*").alias("candidate_size")), "qid", "left")
         sums = sums.drop("found", "candidate_size")
-    rows = base.join(sums, ["method", "qid"], "left").na.fill(0)
+    rows = base.join(sums, ["method", "qid"], "left").join(best, ["method", "qid"], "left").na.fill(0)
     gold, found, size = F.col("gold_size"), F.col("found"), F.col("candidate_size")
     precision, recall = _ratio(found, size), found / gold
     return rows.select(
@@ -107,20 +117,22 @@ def summarise(metrics: DataFrame) -> DataFrame:
     return out.select("method", kind.alias("group_type"), F.coalesce("template", "gold_size_bin", F.lit("all")).alias("group_value"), "n_queries", *METRICS, *SIZES)
 
 
-def ranking_errors(results: DataFrame, queries: DataFrame, qrels: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
+def ranking_errors(results: DataFrame, queries: DataFrame, qrels: DataFrame, k: int, candidates: DataFrame | None = None, about: DataFrame | None = None) -> DataFrame:
     """Where gold documents are lost: not a candidate; ranked too low though there was room; no room at k. The three sum to the misses.
 
-    A document that a ranking repeats counts at its first rank. candidates: as in evaluate;
-    a ranked document outside them is an error.
+    A document that a ranking repeats counts at its first rank. candidates and about: as
+    in evaluate; a ranked document outside the candidates is an error.
     """
     if candidates is not None and not outside(results, candidates).isEmpty():
         raise ValueError("a ranking has documents outside the candidates")
-    base = _each(results, described(queries, qrels))
-    found = distinct_rankings(results).join(qrels.select("qid", "ordinal"), ["qid", "ordinal"], "left_semi").groupBy("method", "qid").agg(F.count("*").alias("inside"), F.count_if(F.col("rank") <= k).alias("hits"))
-    if candidates is not None:
-        inside = candidates.select("qid", "ordinal").distinct().join(qrels.select("qid", "ordinal"), ["qid", "ordinal"], "left_semi").groupBy("qid").agg(F.count("*").alias("inside"))
-        found = base.select("method", "qid").join(inside, "qid").join(found.drop("inside"), ["method", "qid"], "left")
-    rows = base.join(found, ["method", "qid"], "left").na.fill(0)
+    base = _each(results, described(queries, qrels) if about is None else about)
+    marked = _marked(results, qrels)
+    hits = _top(marked, k).groupBy("method", "qid").agg(F.count_if("hit").alias("hits"))
+    if candidates is None:
+        keys, inside = ["method", "qid"], marked.groupBy("method", "qid").agg(F.count_if("hit").alias("inside"))
+    else:
+        keys, inside = ["qid"], candidates.select("qid", "ordinal").distinct().join(qrels.select("qid", "ordinal"), ["qid", "ordinal"], "left_semi").groupBy("qid").agg(F.count("*").alias("inside"))
+    rows = base.join(inside, keys, "left").join(hits, ["method", "qid"], "left").na.fill(0)
     room = F.least(F.lit(k), F.col("inside"))
     return rows.select("method", "qid", "template", "gold_size", (F.col("gold_size") - F.col("hits")).alias("total_misses"), (F.col("gold_size") - F.col("inside")).alias("candidate_miss"), (room - F.col("hits")).alias("avoidable_ranking_miss"), (F.col("inside") - room).alias("structural_cutoff_miss"))
 

@@ -232,3 +232,18 @@ def test_oracle_ranking_sorts_only_what_it_ranks(spark):
     assert ranked.columns == ["qid", "ordinal", "rank"] and dict(ranked.dtypes)["rank"] == "int"
     assert {(r.qid, r.ordinal, r.rank) for r in ranked.collect()} == {("a", 1, 1), ("a", 3, 2), ("a", 5, None), ("a", 9, None), ("b", 2, 1), ("c", 4, 1), ("c", 7, 2)}
     assert "Window" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_of_rankings_need_only_the_gold_they_can_have(spark):
+    """With the sizes of all gold at hand, gold that no ranking has can be left out; a document twice in a ranking and one without a rank count as before."""
+    queries = plan_table(spark, (templates.ATOM, ["x"]), (templates.ATOM, ["y"]))
+    qrels = spark.createDataFrame([("0", d) for d in (1, 2, 3, 50, 60)] + [("1", 7)], "qid string, ordinal long")
+    results = spark.createDataFrame([("m", "0", 9, 1), ("m", "0", 1, 2), ("m", "0", 1, 5), ("m", "0", 2, 7), ("m", "0", 3, None)], "method string, qid string, ordinal long, rank int")
+    known, about = qrels.where("ordinal < 10 and qid = '0'"), metrics.described(queries, qrels, distinct=True)
+    assert sorted(about.collect()) == sorted(metrics.described(queries, qrels).collect())
+    rows = sorted(metrics.evaluate(results, queries, qrels).collect())
+    assert sorted(metrics.evaluate(results, queries, known, about=about).collect()) == rows
+    assert [(r.qid, r.gold_size, r.recall_at_5, r.candidate_recall, r.retrieved_size, r.candidate_size) for r in rows] == [("0", 5, 0.4, 0.6, 3, 4), ("1", 1, 0.0, 0.0, 0, 0)]
+    errors = sorted(metrics.ranking_errors(results, queries, qrels, 2).collect())
+    assert sorted(metrics.ranking_errors(results, queries, known, 2, about=about).collect()) == errors
+    assert [(e.total_misses, e.candidate_miss, e.avoidable_ranking_miss, e.structural_cutoff_miss) for e in errors] == [(4, 2, 1, 1), (1, 1, 0, 0)]
