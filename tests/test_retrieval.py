@@ -247,3 +247,28 @@ def test_metrics_of_rankings_need_only_the_gold_they_can_have(spark):
     errors = sorted(metrics.ranking_errors(results, queries, qrels, 2).collect())
     assert sorted(metrics.ranking_errors(results, queries, known, 2, about=about).collect()) == errors
     assert [(e.total_misses, e.candidate_miss, e.avoidable_ranking_miss, e.structural_cutoff_miss) for e in errors] == [(4, 2, 1, 1), (1, 1, 0, 0)]
+
+
+def test_methods_find_the_same_in_the_gold_they_are_offered(spark, monkeypatch):
+    """Gold that the pool and the lists do not have changes no method, error or metric."""
+    monkeypatch.setattr(catalog, "POOL", 20)  # of 150 documents
+    monkeypatch.setattr(catalog, "DEPTHS", (2, 5))
+    fx = catalog.Fixture(spark, SF)
+    assert 0 < fx.offered("hybrid_verify").count() < fx.exact.count()
+    whole = {
+        "union_verify": fusion.union_verify(fx.atoms, fx.lists, fx.exact, catalog.FINAL), "full_verify": fusion.full_verify(fx.pool, fx.exact, catalog.FINAL),
+        "hybrid_verify": fusion.hybrid_verify(fx.atoms, fx.lists, fx.pool, fx.exact, catalog.DEPTHS, catalog.FINAL),
+    }
+    made = catalog.results(fx, *whole)
+    for name, df in whole.items():
+        assert sorted(map(str, made[name].collect())) == sorted(map(str, catalog._method(name, df).collect()))
+    names = [*whole, "bm25", "compose_exact_not"]
+    rankings = catalog._union(catalog.results(fx, *names).values())
+    assert sorted(metrics.evaluate(rankings, fx.queries, fx.qrels).collect()) == sorted(catalog._evaluated(fx, *names).collect())
+    assert sorted(metrics.ranking_errors(rankings, fx.queries, fx.qrels, catalog.FINAL).collect()) == sorted(catalog._missed(fx, *names).collect())
+
+
+def test_a_method_alone_asks_no_lists(spark):
+    fx = catalog.Fixture(spark, SF)
+    assert catalog._evaluated(fx, "bm25").count() == fx.queries.count()
+    assert "atomic" not in vars(fx) and "list_gold" not in vars(fx)
