@@ -39,7 +39,8 @@ def _each(results: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
 
 def _marked(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """method, qid, ordinal, first, hit: each document of a ranking once, at its first rank. Rankings and gold meet by document; nothing else of their size is shuffled."""
-    gold = qrels.select("qid", "ordinal", F.lit(True).alias("hit")).distinct()
+    # marked after they are made distinct: a mark among the keys would have them shuffled again for the join
+    gold = qrels.select("qid", "ordinal").distinct().withColumn("hit", F.lit(True))
     return results.join(gold, ["qid", "ordinal"], "left").groupBy("method", "qid", "ordinal").agg(F.min("rank").alias("first"), F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
 
 

@@ -272,3 +272,17 @@ def test_a_method_alone_asks_no_lists(spark):
     fx = catalog.Fixture(spark, SF)
     assert catalog._evaluated(fx, "bm25").count() == fx.queries.count()
     assert "atomic" not in vars(fx) and "list_gold" not in vars(fx)
+
+
+def test_rankings_meet_gold_in_one_shuffle_of_each(spark):
+    qrels = spark.createDataFrame([("0", d) for d in (1, 2, 3)], "qid string, ordinal long")
+    results = spark.createDataFrame([("m", "0", 1, 1), ("m", "0", 9, 2), ("m", "0", 1, 3)], "method string, qid string, ordinal long, rank int")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where gold is large
+    try:
+        marked = metrics._marked(results, qrels)
+        assert {(r.ordinal, r.first, r.hit) for r in marked.collect()} == {(1, 1, True), (9, 2, False)}
+        plan = marked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    assert plan.count(" Exchange ") == 2
