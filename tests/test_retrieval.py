@@ -282,6 +282,28 @@ def test_intervals_of_one_method_ask_for_no_other(spark):
     assert sorted(catalog._treated(fx, "full_verify").collect()) == sorted(whole.collect())
 
 
+def _shuffled(spark, run) -> int:
+    """Rows that stages of run write to shuffles."""
+    sc, java = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    stages = lambda: sc.statusStore().stageList(None, False, False, java.new_array(java.jvm.double, 0), None)
+    last = max((s.stageId() for s in map(stages().apply, range(stages().size()))), default=-1)
+    run()
+    sc.listenerBus().waitUntilEmpty()
+    found = stages()
+    return sum(s.shuffleWriteRecords() for s in map(found.apply, range(found.size())) if s.stageId() > last)
+
+
+def test_exact_exclusion_shuffles_only_what_lists_have(spark):
+    """Documents of the negated posting that no list has are not shuffled, however many."""
+    atoms = templates.atoms(plan_table(spark, (templates.NOT_2, ["x", "y"])))
+    lists = spark.createDataFrame([("x", 1, 1, 5), ("x", 2, 2, 5), ("x", 3, 3, 5), ("y", 3, 1, 5)], "attr string, ordinal long, rank int, depth int")
+    posting = spark.range(2, 5002).selectExpr("'y' as attr", "id as ordinal").where("ordinal <> 3")
+    facts = posting.union(spark.createDataFrame([("x", 1), ("x", 2), ("x", 3)], "attr string, ordinal long"))
+    found = []
+    assert _shuffled(spark, lambda: found.extend(fusion.compose_exact_not(atoms, lists, facts, 5).collect())) < 1000
+    assert [(r.ordinal, r["rank"]) for r in found] == [(1, 1), (3, 2)]
+
+
 def test_rankings_meet_gold_in_one_shuffle_of_each(spark):
     qrels = spark.createDataFrame([("0", d) for d in (1, 2, 3)], "qid string, ordinal long")
     results = spark.createDataFrame([("m", "0", 1, 1), ("m", "0", 9, 2), ("m", "0", 1, 3)], "method string, qid string, ordinal long, rank int")
