@@ -153,6 +153,18 @@ class Fixture:
     def pool(self) -> DataFrame:
         return written(bm25.search(self.index, self.queries, POOL))
 
+    @cached_property
+    def best(self) -> DataFrame:
+        """The first FINAL of BM25's ranking of the whole corpus."""
+        return written(bm25.search(self.index, self.queries, FINAL))
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """(qid, found, candidate_size) where every document is a candidate: gold meets the documents and is counted, and no pair of a query and a document is made."""
+        found = self.exact.join(self.corpus.select("ordinal"), "ordinal").groupBy("qid").agg(F.count("*").alias("found"))
+        size = self.corpus.agg(F.count("*").alias("candidate_size"))
+        return self.queries.select("qid").join(found, "qid", "left").na.fill(0).crossJoin(F.broadcast(size))
+
     @cached_property
     def atomic(self) -> DataFrame:
         return written(bm25.search(self.index, fusion.atomic_queries(self.atoms), max(DEPTHS)).withColumnRenamed("qid", "attr"))
@@ -599,9 +611,23 @@ def judged_errors(fx):
     return metrics.ranking_errors(_union(results(fx).values()), fx.queries, fx.judged, FINAL)
 
 
-@query(MEASURED + " WHERE family = 'bm25'")
+def _whole_sql() -> str:
+    """The checks of the measures over BM25's ranking of the whole corpus, from which no pool is cut."""
+    measures = BASE[BASE.index("sums AS (") : BASE.index("), main AS")]
+    for name in ("results", "sums", "measured"):
+        measures = re.sub(rf"\b{name}\b", f"whole_{name}", measures)
+    return f""", whole_results AS MATERIALIZED (
+  SELECT 'bm25' AS family, 'bm25' AS method, qid, ordinal, CASE WHEN p <= 100 THEN p END AS rank
+  FROM (SELECT q.qid, d.ordinal, row_number() OVER (PARTITION BY q.qid ORDER BY round(coalesce(score, 0), 9) DESC, d.ordinal)::INT AS p
+    FROM queries q CROSS JOIN dl d LEFT JOIN scored s ON s.kind = 'q' AND s.qid = q.qid AND s.ordinal = d.ordinal)
+), {measures})"""
+
+
+@query(_whole_sql() + MEASURED.replace("measured", "whole_measured"))
 def method_bm25(fx):
-    return _rounded(_evaluated(fx, "bm25"))
+    """BM25 over the whole corpus, not over a pool: every document is a candidate, for BM25 ranks them all, and the first FINAL, which are all that the measures of ranks look at, are the ranking."""
+    gold = fx.exact.join(bm25.few(fx.best.select("qid", "ordinal")), ["qid", "ordinal"], "left_semi")
+    return _rounded(metrics.evaluate(_flat("bm25", fx.best), fx.queries, gold, about=fx.about, counted=fx.counted))
 
 
 @query("SELECT method, qid, round(recall_at_5, 9) AS recall_at_5, round(recall_at_20, 9) AS recall_at_20, round(recall_at_100, 9) AS recall_at_100 FROM measured WHERE family = 'full_verify'")

@@ -55,7 +55,7 @@ def outside(results: DataFrame, candidates: DataFrame) -> DataFrame:
     return results.where("rank is not null").select("method", "qid", "ordinal").join(candidates.select("qid", "ordinal"), ["qid", "ordinal"], "left_anti").select("method", "qid", "ordinal")
 
 
-def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidates: DataFrame | None = None, about: DataFrame | None = None) -> DataFrame:
+def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidates: DataFrame | None = None, about: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """KEYS, METRICS and SIZES of every method and query; results is (method, qid, ordinal, rank).
 
     Driven by all queries, so a query for which a method finds nothing has zeros. A
@@ -63,7 +63,8 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidate
     that all methods chose from, if the rows of results are not all their candidates; a
     ranked document outside them is an error. about: described of the queries and all
     their gold, if it is at hand; qrels need then have only the gold that results and
-    candidates can have.
+    candidates can have. counted: (qid, found, candidate_size) of the gold among the
+    candidates and of all of them, where they are too many to be given.
     """
     base = _each(results, described(queries, qrels) if about is None else about)
     marked = _marked(results, qrels)
@@ -78,8 +79,10 @@ def evaluate(results: DataFrame, queries: DataFrame, qrels: DataFrame, candidate
         if not outside(results, candidates).isEmpty():
             raise ValueError("a ranking has documents outside the candidates")
         whole = candidates.select("qid", "ordinal").distinct().join(qrels.select("qid", "ordinal", F.lit(1).alias("gold")).distinct(), ["qid", "ordinal"], "left")
+        counted = whole.groupBy("qid").agg(F.count("gold").alias("found"), F.count("*").alias("candidate_size"))
+    if counted is not None:
         # of the query, not of the method: a method that ranks nothing had the same candidates
-        base = base.join(whole.groupBy("qid").agg(F.count("gold").alias("found"), F.count("*").alias("candidate_size")), "qid", "left")
+        base = base.join(counted, "qid", "left")
         sums = sums.drop("found", "candidate_size")
     rows = base.join(sums, ["method", "qid"], "left").join(best, ["method", "qid"], "left").na.fill(0)
     gold, found, size = F.col("gold_size"), F.col("found"), F.col("candidate_size")

@@ -268,6 +268,27 @@ def test_methods_find_the_same_in_the_gold_they_are_offered(spark, monkeypatch):
     assert sorted(metrics.ranking_errors(rankings, fx.queries, fx.qrels, catalog.FINAL).collect()) == sorted(catalog._missed(fx, *names).collect())
 
 
+def test_method_bm25_ranks_the_whole_corpus(spark, monkeypatch):
+    """No pool cuts its candidates: the measures are those of every document ranked by all scores, whatever the pool; candidates that are only counted count alike."""
+    monkeypatch.setattr(catalog, "POOL", 20)  # of 150 documents
+    monkeypatch.setattr(catalog, "FINAL", 30)
+    fx = catalog.Fixture(spark, SF)
+    n = fx.corpus.count()
+    ranked = bm25.top_k(catalog.written(bm25.scores(fx.index, fx.queries)), fx.queries, fx.index.docs, n)
+    assert n > 100 and ranked.count() == n * fx.queries.count()
+    every = ranked.select(F.lit("bm25").alias("method"), "qid", "ordinal", F.when(F.col("rank") <= 30, F.col("rank")).alias("rank"))
+    rows = sorted(catalog.method_bm25(fx).collect())
+    assert rows == sorted(catalog._rounded(metrics.evaluate(every, fx.queries, fx.exact)).collect())
+    assert {(r.candidate_size, r.retrieved_size, r.candidate_recall) for r in rows} == {(n, 30, 1.0)}
+    assert "pool" not in vars(fx) and "atomic" not in vars(fx)
+    queries = plan_table(spark, (templates.ATOM, ["x"]), (templates.ATOM, ["y"]))
+    qrels = spark.createDataFrame([("0", 1), ("0", 2), ("1", 7)], "qid string, ordinal long")
+    results = spark.createDataFrame([("m", "0", 9, 1), ("m", "0", 1, 2)], "method string, qid string, ordinal long, rank int")
+    counted = spark.createDataFrame([("0", 2, 9), ("1", 0, 9)], "qid string, found long, candidate_size long")
+    got = metrics.evaluate(results, queries, qrels, counted=counted).orderBy("qid").collect()
+    assert [(r.recall_at_5, r.candidate_recall, r.candidate_precision, r.retrieved_size, r.candidate_size) for r in got] == [(0.5, 1.0, 2 / 9, 2, 9), (0.0, 0.0, 0.0, 0, 9)]
+
+
 def test_a_method_alone_asks_no_lists(spark):
     fx = catalog.Fixture(spark, SF)
     assert catalog._evaluated(fx, "bm25").count() == fx.queries.count()
