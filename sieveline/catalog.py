@@ -160,10 +160,11 @@ class Fixture:
 
     @cached_property
     def counted(self) -> DataFrame:
-        """(qid, found, candidate_size) where every document is a candidate: gold meets the documents and is counted, and no pair of a query and a document is made."""
-        found = self.exact.join(self.corpus.select("ordinal"), "ordinal").groupBy("qid").agg(F.count("*").alias("found"))
+        """(qid, found, candidate_size) where every document is a candidate: all gold is found but for customers that have facts and no document. No pair of a query and a document is made."""
+        absent = written(self.facts.select("ordinal").distinct().join(self.corpus.select("ordinal"), "ordinal", "left_anti"))
+        lost = self.exact.join(bm25.few(absent), "ordinal", "left_semi").groupBy("qid").agg(F.count("*").alias("lost"))
         size = self.corpus.agg(F.count("*").alias("candidate_size"))
-        return self.queries.select("qid").join(found, "qid", "left").na.fill(0).crossJoin(F.broadcast(size))
+        return self.about.select("qid", "gold_size").join(lost, "qid", "left").na.fill(0).crossJoin(F.broadcast(size)).select("qid", (F.col("gold_size") - F.col("lost")).alias("found"), "candidate_size")
 
     @cached_property
     def atomic(self) -> DataFrame:
